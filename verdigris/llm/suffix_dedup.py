@@ -110,7 +110,8 @@ def _repeated(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         order = order[shared]
         order = order[np.argsort(doc[order], kind="stable")]
         ids, at = np.unique(doc[order], return_index=True)
-        packed = [gram[order[a:b]].tobytes() for a, b in zip(at, np.r_[at[1:], len(order)], strict=True)]
+        ends = np.r_[at, len(order)]
+        packed = [gram[order[a:b]].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "bucket": pa.array(np.full(len(ids), table.column("bucket")[0].as_py())), "grams": pa.array(packed, pa.binary())})
 
     blobs_of = docs.mapInArrow(pack, "bucket bigint, grams binary, docs binary")

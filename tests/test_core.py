@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from oracle import spark_rows, sql_rows
 from verdigris.functions import text as X
 from verdigris.operators import events as E
+from verdigris.operators import quotes as Q
 from verdigris.plans.queries import ORACLE_SQL, QUERIES
 from verdigris.sources.html import Blocks
 from verdigris.sources.jsonl import append_new, read_lenient
@@ -16,6 +17,14 @@ def test_same_as_sql(spark, name):
     assert spark_rows(QUERIES[name](spark, SF)) == sql_rows(ORACLE_SQL[name], SF)
 
 
+def test_quotes_are_found_alike_by_scan_and_by_gram(spark):
+    quotes = spark.createDataFrame([(1, "the same words"), (2, "The Same  words"), (3, "words again"), (4, "short"), (5, None), (6, "nowhere to be seen")], "item_id int, text string")
+    paras = spark.createDataFrame([("a", "x the same words again"), ("a2", "the samewords"), ("b", ""), ("c", None), ("d", "words again, words again"), ("d", "words again, words again")], "locator string, text string")
+    found = [sorted(map(tuple, Q.quote_hits(quotes, paras, most_chars=n).collect())) for n in (Q.MOST_CHARS, 0)]
+    assert found[0] == found[1] == [(1, "a"), (1, "a2"), (2, "a"), (2, "a2"), (3, "a"), (3, "d")]
+    assert Q.quote_hits(quotes.where("item_id > 3"), paras).count() == 0
+
+
 def test_html_blocks():
     def blocks(html):
         p = Blocks()

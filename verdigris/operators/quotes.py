@@ -2,31 +2,75 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as X
 
 GRAM = 6
+#: Quotes up to so many characters together are sent to every task.
+MOST_CHARS = 1_000_000
 
 
-def quote_hits(quotes: DataFrame, paras: DataFrame) -> DataFrame:
-    """``item_id, locator``: paragraphs whose normalised text contains the normalised quote.
+def quote_hits(quotes: DataFrame, paras: DataFrame, most_chars: int = MOST_CHARS) -> DataFrame:
+    """``item_id, locator``: paragraphs whose normalised text contains the normalised quote, each pair once.
 
-    Every quote is looked up by its rarest gram of six characters, so that a gram which most texts have is not what
-    the join runs on; a paragraph side row is made only for grams that some quote asks for.
+    Quotes of at most ``most_chars`` characters together go to every task, which reads its paragraphs once: nothing
+    is shuffled. Beyond that bound both sides meet by grams.
     """
     q = quotes.select("item_id", X.normalize_search(F.col("text")).alias("quote")).where(F.length("quote") >= GRAM)
-    asked = q.select("item_id", "quote", F.explode(_grams("quote")).alias("gram"))
     p = paras.select("locator", X.normalize_search(F.col("text")).alias("norm")).where(F.length("norm") >= GRAM)
-    held = p.select("locator", "norm", F.explode(F.array_distinct(_grams("norm"))).alias("gram"))
+    chars = q.agg(F.sum(F.length("quote"))).first()[0] or 0
+    return _hits_by_scan(q, p) if chars <= most_chars else _hits_by_gram(q, p)
+
+
+def _hits_by_scan(q: DataFrame, p: DataFrame) -> DataFrame:
+    """All quotes are looked for at once, by an automaton that each task builds from them."""
+    items: dict[str, list] = {}
+    for item, quote in q.collect():
+        items.setdefault(quote, []).append(item)
+    kind = q.schema["item_id"].dataType
+    arrow_kind = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ahocorasick import Automaton
+
+        find = Automaton()
+        for quote in items:
+            find.add_word(quote, quote)
+        if items:
+            find.make_automaton()
+        for batch in batches:
+            found, at = [], []
+            for i, norm in enumerate(batch.column(1).to_pylist()):
+                for quote in {x for _, x in find.iter(norm)} if items else ():
+                    found += items[quote]
+                    at += [i] * len(items[quote])
+            yield pa.RecordBatch.from_pydict({"item_id": pa.array(found, arrow_kind), "locator": batch.column(0).take(pa.array(at, pa.int64()))})
+
+    return p.select("locator", "norm").mapInArrow(run, f"item_id {kind.simpleString()}, locator string").distinct()
+
+
+def _hits_by_gram(q: DataFrame, p: DataFrame) -> DataFrame:
+    """Every quote is looked up by its rarest gram, so that a gram which most texts have is not what the join runs on.
+
+    A gram's row is a place and a number; texts are joined back to the few places that are left.
+    """
+    asked = q.select("item_id", "quote", F.explode(_grams("quote")).alias("gram"))
+    held = p.select("locator", F.explode(F.array_distinct(_grams("norm"))).alias("gram"))
     counts = held.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     rarest = asked.join(counts, "gram", "left").groupBy("item_id", "quote").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    return held.join(rarest, "gram").where(F.contains("norm", "quote")).select("item_id", "locator")
+    places = held.join(rarest, "gram").select("locator", "item_id", "quote")
+    return places.join(p, "locator").where(F.contains("norm", "quote")).select("item_id", "locator").distinct()
 
 
-def _grams(name: str):
-    return F.transform(F.sequence(F.lit(1), F.length(name) - GRAM + 1), lambda i: F.substr(F.col(name), i, F.lit(GRAM)))
+def _grams(name: str, width: int = GRAM):
+    """The hashes of the text's windows of so many characters."""
+    return F.transform(F.sequence(F.lit(1), F.length(name) - width + 1), lambda i: F.xxhash64(F.substr(F.col(name), i, F.lit(width))))
 
 
 def quote_status(quotes: DataFrame, paras: DataFrame) -> DataFrame:
@@ -44,11 +88,12 @@ def quote_fuzzy(quotes: DataFrame, paras: DataFrame, admit: float = 0.88, accept
     Candidates share a gram of eight characters with the quote; similarity is measured on those alone.
     """
     wide = 8
-    cut = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - wide + 1), lambda i: F.substr(F.col(c), i, F.lit(wide))))
     q = quotes.select("item_id", X.normalize_search(F.col("text")).alias("quote")).where(F.length("quote") >= 12)
     p = paras.select("locator", X.normalize_search(F.col("text")).alias("norm")).where(F.length("norm") >= 12)
-    pairs = q.select("item_id", "quote", F.explode(cut("quote")).alias("gram")).join(p.select("locator", "norm", F.explode(cut("norm")).alias("gram")), "gram")
-    pairs = pairs.groupBy("item_id", "locator").agg(F.first("quote").alias("quote"), F.first("norm").alias("norm"), F.count("*").alias("shared")).where("shared >= length(quote) / 20")
+    asked = q.select("item_id", F.length("quote").alias("chars"), F.explode(F.array_distinct(_grams("quote", wide))).alias("gram"))
+    held = p.select("locator", F.explode(F.array_distinct(_grams("norm", wide))).alias("gram"))
+    near = held.join(asked, "gram").groupBy("item_id", "locator").agg(F.count("*").alias("shared"), F.first("chars").alias("chars")).where("shared >= chars / 20").select("item_id", "locator")
+    pairs = near.join(q, "item_id").join(p, "locator")
     scored = pairs.select("item_id", "locator", X.partial_similarity_udf("quote", "norm").alias("raw")).where(F.col("raw") >= admit)
     order = Window.partitionBy("item_id").orderBy(F.desc("raw"), "locator")
     ranked = scored.select("item_id", "locator", F.bround("raw", 4).alias("score"), F.row_number().over(order).alias("rank"), F.lead("raw").over(order).alias("next"))

@@ -15,7 +15,8 @@ from ..operators import quotes as Q
 from ..sources import html
 
 LITERALS = ("Licensed under the Apache License, Version 2.0.", "###")
-KINDS = ("click", "error", "purchase", "signup", "view")
+#: What a week is expected to have; nothing sends refunds.
+KINDS = ("click", "error", "purchase", "refund", "signup", "view")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,10 +81,15 @@ def _quotes(s: SparkSession, d: str) -> DataFrame:
     return _table(s, d, "benchmark").select("item_id", "text")
 
 
+def _labelled(s: SparkSession, d: str) -> DataFrame:
+    """The documents that count as at hand."""
+    return _table(s, d, "labels").select("doc_id")
+
+
 def _titles(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     first = F.substring_index("text", "\n", 1)
     rows = _docs(s, d).select("doc_id", first.alias("title"))
-    return rows.select(F.col("doc_id").alias("remote_id"), "title"), rows.where("doc_id % 2 = 0").select(F.col("doc_id").alias("local_id"), "title")
+    return rows.select(F.col("doc_id").alias("remote_id"), "title"), rows.join(_labelled(s, d), "doc_id", "left_semi").select(F.col("doc_id").alias("local_id"), "title")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -105,12 +111,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "analysis_text": lambda s, d: D.analysis_text(_paras(s, d), _registry(s, d)),
     "audit_paragraphs": lambda s, d: D.audit_paragraphs(_paras(s, d)),
     "html_blocks": lambda s, d: html.html_blocks(_table(s, d, "pages")),
-    "new_events_only": lambda s, d: E.new_events_only(_table(s, d, "events").select("event_id", "event_type"), _table(s, d, "events").where("event_id % 3 = 0").select("event_id")),
+    "new_events_only": lambda s, d: E.new_events_only(_table(s, d, "events").select("event_id", "event_type"), _table(s, d, "labels").select(F.col("doc_id").alias("event_id"))),
     "latest_state": lambda s, d: E.latest(_table(s, d, "events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id"),
     "state_fold": lambda s, d: E.fold(_decisions(s, d), "user_id", "event_id", "decision", E.PROFILE_STEPS),
     "belief_fold": lambda s, d: E.fold(_decisions(s, d), "user_id", "event_id", "decision", E.BELIEF_STEPS),
     "weekly_report": lambda s, d: E.weekly_report(_table(s, d, "events")),
-    "weekly_gaps": lambda s, d: E.weekly_gaps(E.weekly_report(_table(s, d, "events").where("event_id % 997 = 0")), KINDS),
+    "weekly_gaps": lambda s, d: E.weekly_gaps(E.weekly_report(_table(s, d, "events")), KINDS),
     "delta_report": lambda s, d: E.delta_report(_table(s, d, "events")),
     "reconcile_catalog": lambda s, d: C.reconcile(_docs(s, d), _local(s, d)),
     "status_distribution": lambda s, d: C.status_distribution(C.reconcile(_docs(s, d), _local(s, d))),
@@ -122,7 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "candidate_merge": lambda s, d: C.merge_candidates(_offers(s, d)),
     "candidate_rank": lambda s, d: C.rank_candidates(C.merge_candidates(_offers(s, d))),
     "topic_rank": lambda s, d: _docs(s, d).select("doc_id", X.topic_score(F.lit("the nation"), F.col("text")).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10),
-    "citation_integrity": lambda s, d: C.citation_integrity(_paras(s, d).select("locator"), _paras(s, d).where("paragraph_index % 5 <> 0").select("locator")),
+    "citation_integrity": lambda s, d: C.citation_integrity(_paras(s, d).select("locator"), _paras(s, d).join(_labelled(s, d), "doc_id", "left_semi").select("locator")),
     "coverage": _coverage,
     "shelf_union": _shelf_union,
     "set_checks": _set_checks,
@@ -182,16 +188,16 @@ ORACLE_SQL: dict[str, str] = {
     "analysis_text": f"WITH {_REG} SELECT p.locator, CASE WHEN clean_status = 'skipped' THEN NULL ELSE coalesce(cleaned_text, p.text) END AS analysis_text, coalesce(rules, '') AS cleaning FROM p LEFT JOIN r USING (locator)",
     "audit_paragraphs": f"""WITH {_P}, g AS (SELECT count(*) AS n FROM (SELECT doc_id, chapter FROM p GROUP BY ALL HAVING max(paragraph_index) <> count(*))),
 u AS (SELECT 'locator_unique' AS "check", count(*) - count(DISTINCT locator) AS violations FROM p UNION ALL SELECT 'text_present', count(*) FILTER (trim(text) = '') FROM p UNION ALL SELECT 'locator_format', count(*) FILTER (NOT regexp_matches(locator, '{X.LOCATOR}')) FROM p UNION ALL SELECT 'index_dense', n FROM g) SELECT *, violations = 0 AS ok FROM u""",
-    "new_events_only": "SELECT event_id, event_type FROM events WHERE event_id % 3 <> 0",
+    "new_events_only": "SELECT event_id, event_type FROM events WHERE event_id NOT IN (SELECT doc_id FROM labels)",
     "latest_state": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
     "state_fold": f"WITH RECURSIVE {_fold_sql(E.PROFILE_STEPS)} SELECT * FROM z",
     "belief_fold": f"WITH RECURSIVE {_fold_sql(E.BELIEF_STEPS)} SELECT * FROM z",
     "weekly_report": f"SELECT {_WEEK} AS week, event_type, count(*) AS events, count(DISTINCT user_id) AS users FROM events GROUP BY ALL",
-    "weekly_gaps": f"WITH e AS (SELECT {_WEEK} AS week, event_type FROM events WHERE event_id % 997 = 0), w AS (SELECT DISTINCT week FROM e), k AS (SELECT unnest({list(KINDS)}) AS missing) SELECT week, missing FROM w CROSS JOIN k WHERE (week, missing) NOT IN (SELECT (week, event_type) FROM e)",
+    "weekly_gaps": f"WITH e AS (SELECT {_WEEK} AS week, event_type FROM events), w AS (SELECT DISTINCT week FROM e), k AS (SELECT unnest({list(KINDS)}) AS missing) SELECT week, missing FROM w CROSS JOIN k WHERE (week, missing) NOT IN (SELECT (week, event_type) FROM e)",
     "delta_report": "WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS fetched FROM events GROUP BY ALL), b AS (SELECT *, lag(fetched) OVER (PARTITION BY user_id ORDER BY day) AS previous FROM d) SELECT user_id, day, fetched, previous, greatest(0, fetched - coalesce(previous, 0)) AS added, fetched IS DISTINCT FROM previous AS changed FROM b",
     "reconcile_catalog": f"WITH {_REC} SELECT * FROM rec",
     "status_distribution": f"WITH {_REC} SELECT link_status, count(*) AS n, count(*) FILTER (next_action = 'discuss') AS discussable FROM rec GROUP BY ALL",
-    "unique_title_link": r"WITH t AS (SELECT doc_id, split_part(text, chr(10), 1) AS title FROM documents), f AS (SELECT DISTINCT doc_id, form FROM (SELECT doc_id, regexp_replace(replace(lower(title), 'ß', 'ss'), '[^\p{L}\p{N}]+', '', 'g') AS form FROM t UNION ALL SELECT doc_id, regexp_replace(replace(lower(regexp_extract(title, '^[^：:]*')), 'ß', 'ss'), '[^\p{L}\p{N}]+', '', 'g') FROM t) WHERE form <> '') SELECT a.doc_id AS remote_id, min(b.doc_id) AS local_id FROM f a JOIN f b ON a.form = b.form AND b.doc_id % 2 = 0 GROUP BY a.doc_id HAVING min(b.doc_id) = max(b.doc_id)",
+    "unique_title_link": r"WITH t AS (SELECT doc_id, split_part(text, chr(10), 1) AS title FROM documents), f AS (SELECT DISTINCT doc_id, form FROM (SELECT doc_id, regexp_replace(replace(lower(title), 'ß', 'ss'), '[^\p{L}\p{N}]+', '', 'g') AS form FROM t UNION ALL SELECT doc_id, regexp_replace(replace(lower(regexp_extract(title, '^[^：:]*')), 'ß', 'ss'), '[^\p{L}\p{N}]+', '', 'g') FROM t) WHERE form <> '') SELECT a.doc_id AS remote_id, min(b.doc_id) AS local_id FROM f a JOIN f b ON a.form = b.form AND b.doc_id IN (SELECT doc_id FROM labels) GROUP BY a.doc_id HAVING min(b.doc_id) = max(b.doc_id)",
     "user_statements": rf"WITH l AS (SELECT conv_id, turn, generate_subscripts(regexp_split_to_array(text, '[\r\n]+'), 1) AS i, unnest(regexp_split_to_array(text, '[\r\n]+')) AS text FROM conversations WHERE role = 'user') SELECT 'session:' || conv_id || '-' || turn || ':' || i AS source_id, trim(text) AS content FROM l WHERE trim(text) <> '' AND NOT ({_SECRET}) AND NOT regexp_matches(text, '(?i)\b(system prompt|tool call|context window)\b')",
     "session_flags": "SELECT conv_id, bool_or(role = 'system') AS has_system, count(*) AS turns, count(*) FILTER (role = 'user') AS user_turns, max(turn) AS last_turn FROM conversations GROUP BY conv_id",
     "secret_scan": f"SELECT doc_id, ({_SECRET}) AS has_secret FROM documents",
@@ -199,7 +205,7 @@ u AS (SELECT 'locator_unique' AS "check", count(*) - count(DISTINCT locator) AS
     "candidate_merge": f"WITH {_MERGE} SELECT * FROM m",
     "candidate_rank": rf"WITH {_MERGE} SELECT candidate_id, NOT sold_out AS eligible, ratings, regexp_replace(replace(lower(name), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]+', '', 'g') AS title_key FROM m ORDER BY eligible DESC, ratings DESC, title_key NULLS FIRST, candidate_id LIMIT 50",
     "topic_rank": "WITH n AS (SELECT doc_id, " + _NORM.format("text") + " AS t FROM documents) SELECT doc_id, CASE WHEN contains(t, 'thenation') THEN 4 ELSE 0 END + " + " + ".join(f"CAST(contains(t, '{g}') AS INTEGER)" for g in ("th", "he", "en", "na", "at", "ti", "io", "on")) + " AS score FROM n ORDER BY score DESC, doc_id LIMIT 10",
-    "citation_integrity": f"WITH {_P} SELECT locator FROM p WHERE paragraph_index % 5 = 0",
+    "citation_integrity": f"WITH {_P} SELECT locator FROM p WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "coverage": "SELECT source, count(*) AS total, count(l.doc_id) AS completed, round_even(count(l.doc_id) / count(*), 6) AS coverage FROM documents d LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 1) l ON d.doc_id = l.doc_id GROUP BY source",
     "shelf_union": "SELECT 'book' AS kind, 'book:' || p_partkey AS provider_identity, p_name AS title, 0 AS type_rank FROM part UNION ALL SELECT 'album', 'album:' || s_suppkey, s_name, 1 FROM supplier UNION ALL SELECT 'mp', 'mp:' || n_nationkey, n_name, 2 FROM nation",
     "set_checks": """SELECT 'unknown' AS "check", count(*) AS n FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'both', count(DISTINCT doc_id) FROM labels WHERE quality = 1 AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT 'unlabelled', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",

@@ -4,10 +4,13 @@ from pyspark.sql import functions as F
 from oracle import spark_rows, sql_rows
 from verdigris.functions import text as X
 from verdigris.operators import events as E
+from verdigris.operators import evidence as V
 from verdigris.operators import quotes as Q
 from verdigris.plans.queries import ORACLE_SQL, QUERIES
+from verdigris.sources.encodings import detect, detect_encodings
 from verdigris.sources.html import Blocks
 from verdigris.sources.jsonl import append_new, read_lenient
+from verdigris.streaming import folds
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,3 +71,38 @@ def test_json_lines(spark, tmp_path):
     for _ in range(2):
         append_new(good.unionByName(good), str(tmp_path / "log"))
     assert spark.read.schema("event_id string").json(str(tmp_path / "log")).count() == 2
+
+
+def test_encodings(spark):
+    chinese = "第一章。这是中文的正文，在书和节里。" * 20
+    files = [("a", "plain é".encode()), ("b", "\ufeffmarked".encode()), ("c", "two".encode("utf-16")), ("d", chinese.encode("gb18030")), ("e", b"x\0y"), ("f", b"\xff\xfe\xff"), ("g", b"\x81"), ("h", None)]
+    found = {r["path"]: (r["status"], r["encoding"], r["confidence"]) for r in detect_encodings(spark.createDataFrame(files, "path string, content binary")).collect()}
+    assert found["a"] == found["h"] == ("detected", "utf-8", "high") and found["b"] == ("detected", "utf-8-sig", "bom") and found["c"] == ("detected", "utf-16", "bom")
+    assert found["d"][1:] == ("gb18030", "medium") and found["e"][0] == found["f"][0] == found["g"][0] == "rejected"
+    assert detect(b"abc", "latin-1")[1:3] == ("iso8859-1", "explicit") and detect(b"abc", "no such")[4] == "unknown-encoding" and detect(b"\xe9", "utf-8")[4] == "not-in-told-encoding"
+
+
+def test_narrowing(spark):
+    candidates = spark.createDataFrame([(1, "a", "one two"), (1, "b", "one"), (2, "c", "x"), (2, "d", "y"), (3, "e", "z")], "note_id int, locator string, text string")
+    notes = spark.createDataFrame([(1, "T wo"), (2, "two"), (3, None)], "note_id int, associated string")
+    assert sorted(r["locator"] for r in V.narrow_by_associated(candidates, notes).collect()) == ["a", "c", "d", "e"]
+    places = spark.createDataFrame([(1, 1, 1, i, f"p{i}") for i in range(1, 5)] + [(1, 1, 2, 1, "q")] + [(2, 2, 1, i, f"r{i}") for i in (1, 2)], "note_id int, doc_id int, chapter int, paragraph_index int, locator string")
+    ranges = spark.createDataFrame([(1, 9, 5), (2, 1, 5)], "note_id int, note_start int, anchor_start int")
+    assert sorted(r["locator"] for r in V.narrow_by_order(places, ranges, places.where("locator in ('p2', 'r1', 'r2')")).collect()) == ["p3", "p4"]
+
+
+def test_nearest_anchor(spark):
+    notes = spark.createDataFrame([(1, 1, 10), (2, 1, 0), (3, 2, 5), (4, 1, None)], "note_id int, chapter int, start int")
+    anchors = spark.createDataFrame([(7, 1, 8), (6, 1, 12), (5, 1, 12), (9, 1, None)], "anchor_id int, chapter int, start int")
+    assert sorted(map(tuple, V.nearest_anchor(notes, anchors).collect())) == [(1, 5, 2), (2, 7, 8)]
+
+
+def test_streams_agree_with_tables(spark, tmp_path):
+    rows = spark.sql("select * from values ('a', 'x', timestamp'2024-01-01 10:00:00'), ('a', 'x', timestamp'2024-01-01 10:00:00'), ('b', 'y', timestamp'2024-01-07 23:00:00'), ('c', 'x', timestamp'2024-01-08 00:00:00'), ('d', 'x', timestamp'2024-02-01 00:00:00') as t(event_id, event_type, ts)")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    for name, made in (("ids", folds.deduplicated(stream)), ("weeks", folds.weekly_counts(stream))):
+        made.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r["event_id"] for r in spark.table("ids").collect()) == ["a", "b", "c", "d"]
+    closed = {(str(r["week"]), r["event_type"]): r["events"] for r in spark.table("weeks").collect()}
+    assert closed == {("2024-01-01", "x"): 2, ("2024-01-01", "y"): 1, ("2024-01-08", "x"): 1}

@@ -11,8 +11,9 @@ from ..functions import text as X
 from ..operators import catalog as C
 from ..operators import documents as D
 from ..operators import events as E
+from ..operators import evidence as V
 from ..operators import quotes as Q
-from ..sources import html
+from ..sources import encodings, html
 
 LITERALS = ("Licensed under the Apache License, Version 2.0.", "###")
 #: What a week is expected to have; nothing sends refunds.
@@ -92,6 +93,52 @@ def _titles(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return rows.select(F.col("doc_id").alias("remote_id"), "title"), rows.join(_labelled(s, d), "doc_id", "left_semi").select(F.col("doc_id").alias("local_id"), "title")
 
 
+def _narrowed_by_order(s: SparkSession, d: str) -> DataFrame:
+    """Every document has a note, all of its paragraphs as candidates, and the second paragraph as anchor."""
+    paras = _paras(s, d).select(F.col("doc_id").alias("note_id"), "doc_id", "chapter", "paragraph_index", "locator")
+    notes = _table(s, d, "documents").select(F.col("doc_id").alias("note_id"), (F.col("n_chars") % 3).alias("note_start"), F.lit(1).alias("anchor_start"))
+    return V.narrow_by_order(paras, notes, paras.where("chapter = 1 and paragraph_index = 2"))
+
+
+def _narrowed_by_text(s: SparkSession, d: str) -> DataFrame:
+    """Every chapter is a note that could stand in any of its paragraphs, beside the word ``the``."""
+    chapter = F.concat_ws("-", "doc_id", "chapter").alias("note_id")
+    paras = _paras(s, d)
+    return V.narrow_by_associated(paras.select(chapter, "locator", "text"), paras.select(chapter, F.lit("the").alias("associated")).distinct()).select("note_id", "locator")
+
+
+def _nearest_view(s: SparkSession, d: str) -> DataFrame:
+    events = _table(s, d, "events").select("event_id", F.col("user_id").alias("chapter"), F.col("event_id").alias("start"), "event_type")
+    return V.nearest_anchor(events.where("event_type = 'purchase'").withColumnRenamed("event_id", "note_id"), events.where("event_type = 'view'").withColumnRenamed("event_id", "anchor_id"))
+
+
+def _editions(s: SparkSession, d: str) -> DataFrame:
+    code = F.lpad(F.col("p_partkey").cast("string"), 13, "9")
+    kind = F.split("p_type", " ")
+    pairs = _table(s, d, "part").select(F.col("p_partkey").alias("pair_id"), F.col("p_name").alias("title"), F.array("p_brand").alias("authors"), F.array(code).alias("identifiers"), (F.col("p_size") > 25).alias("confirmed"), F.upper("p_name").alias("remote_title"), F.when(F.col("p_retailprice") < 950, "nobody").otherwise(F.concat(F.lit("by "), "p_brand")).alias("remote_author"), F.when(F.get(kind, F.lit(0)) == "STANDARD", code).when(F.get(kind, F.lit(0)) == "PROMO", "978-0").alias("remote_isbn"))
+    return V.edition_mapping(pairs)
+
+
+def _queue(s: SparkSession, d: str) -> DataFrame:
+    orders = _table(s, d, "orders").select(F.col("o_custkey").alias("candidate_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("decision"))
+    return V.decision_queue(_table(s, d, "customer").select(F.col("c_custkey").alias("candidate_id")), orders)
+
+
+def _search_problems(s: SparkSession, d: str) -> DataFrame:
+    paras = _paras(s, d)
+    return V.search_copy_problems(paras, paras.join(_labelled(s, d), "doc_id", "left_semi").select("locator", F.lower("text").alias("normalized_text")))
+
+
+def _chapters_missing(s: SparkSession, d: str) -> DataFrame:
+    paras = _paras(s, d)
+    return V.missing_results(paras, paras.join(_labelled(s, d), "doc_id", "left_semi"), ["doc_id", "chapter"])
+
+
+def _encodings(s: SparkSession, d: str) -> DataFrame:
+    files = _docs(s, d).select("doc_id", F.col("text").cast("binary").alias("content"))
+    return encodings.detect_encodings(files, "doc_id").select("doc_id", "status", "encoding", "confidence", "reason")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "quote_status": lambda s, d: Q.quote_status(_quotes(s, d), _paras(s, d)),
     "quote_hits": lambda s, d: Q.quote_hits(_quotes(s, d), _paras(s, d)),
@@ -132,6 +179,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "coverage": _coverage,
     "shelf_union": _shelf_union,
     "set_checks": _set_checks,
+    "narrow_by_order": _narrowed_by_order,
+    "narrow_by_associated": _narrowed_by_text,
+    "nearest_anchor": _nearest_view,
+    "evidence_records": lambda s, d: V.evidence_records(Q.quote_hits(_quotes(s, d), _paras(s, d)), _paras(s, d)),
+    "missing_results": _chapters_missing,
+    "search_copy_problems": _search_problems,
+    "cleaning_summary": lambda s, d: V.cleaning_summary(_registry(s, d)),
+    "match_status_counts": lambda s, d: V.status_counts(Q.quote_status(_quotes(s, d), _paras(s, d))),
+    "edition_mapping": _editions,
+    "decision_queue": _queue,
+    "text_encodings": _encodings,
     "deterministic_ids": lambda s, d: _table(s, d, "conversations").select("conv_id", "turn", X.short_id("candidate", F.col("conv_id"), F.col("turn"), F.col("text")).alias("candidate_id")),
 }
 
@@ -209,5 +267,17 @@ u AS (SELECT 'locator_unique' AS "check", count(*) - count(DISTINCT locator) AS
     "coverage": "SELECT source, count(*) AS total, count(l.doc_id) AS completed, round_even(count(l.doc_id) / count(*), 6) AS coverage FROM documents d LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 1) l ON d.doc_id = l.doc_id GROUP BY source",
     "shelf_union": "SELECT 'book' AS kind, 'book:' || p_partkey AS provider_identity, p_name AS title, 0 AS type_rank FROM part UNION ALL SELECT 'album', 'album:' || s_suppkey, s_name, 1 FROM supplier UNION ALL SELECT 'mp', 'mp:' || n_nationkey, n_name, 2 FROM nation",
     "set_checks": """SELECT 'unknown' AS "check", count(*) AS n FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'both', count(DISTINCT doc_id) FROM labels WHERE quality = 1 AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT 'unlabelled', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
+    "narrow_by_order": f"WITH {_P}, a AS (SELECT doc_id, locator FROM p WHERE chapter = 1 AND paragraph_index = 2) SELECT p.doc_id AS note_id, p.locator FROM p JOIN a USING (doc_id) JOIN documents d USING (doc_id) WHERE CASE d.n_chars % 3 WHEN 1 THEN p.locator = a.locator WHEN 0 THEN p.chapter = 1 AND paragraph_index < 2 ELSE p.chapter = 1 AND paragraph_index > 2 END",
+    "narrow_by_associated": f"WITH {_P}, c AS (SELECT doc_id || '-' || chapter AS note_id, locator, contains({_NORM.format('text')}, 'the') AS has FROM p), w AS (SELECT *, bool_or(has) OVER (PARTITION BY note_id) AS has_some FROM c) SELECT note_id, locator FROM w WHERE has OR NOT has_some",
+    "nearest_anchor": "WITH j AS (SELECT n.event_id AS note_id, a.event_id AS anchor_id, abs(n.event_id - a.event_id) AS distance FROM events n JOIN events a ON n.user_id = a.user_id AND n.event_type = 'purchase' AND a.event_type = 'view') SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY distance, anchor_id) = 1",
+    "evidence_records": f"WITH {_HITS} SELECT locator, sha256(text) AS text_sha256, substring(text, 1, 2000) AS excerpt, length(text) > 2000 AS truncated, true AS resolved FROM p WHERE locator IN (SELECT locator FROM h)",
+    "missing_results": f"WITH {_P} SELECT DISTINCT doc_id, chapter FROM p WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "search_copy_problems": f"WITH {_P} SELECT locator, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'stale' ELSE 'missing' END AS problem FROM p WHERE doc_id NOT IN (SELECT doc_id FROM labels) OR lower(text) <> {_NORM.format('text')}",
+    "cleaning_summary": f"WITH {_REG} SELECT count(*) AS affected, count(*) FILTER (clean_status = 'usable') AS usable, count(*) FILTER (clean_status = 'skipped') AS skipped, (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT DISTINCT unnest(string_split(rules, '+')) AS x FROM r)) AS rules FROM r",
+    "match_status_counts": f"WITH {_STATUS} SELECT status, count(*) AS n FROM st GROUP BY status",
+    "edition_mapping": """WITH x AS (SELECT p_partkey AS pair_id, p_retailprice < 950 AS off, CASE split_part(p_type, ' ', 1) WHEN 'STANDARD' THEN 1 WHEN 'PROMO' THEN 0 END AS code, p_size > 25 AS sure FROM part)
+SELECT pair_id, CASE WHEN off THEN 'mismatch' WHEN code = 1 THEN 'confirmed' WHEN code = 0 THEN 'candidate' WHEN sure THEN 'confirmed' ELSE 'candidate' END AS mapping_status, CASE WHEN off OR code = 0 THEN 'mismatch' WHEN code = 1 OR sure THEN 'confirmed' ELSE 'needs-confirmation' END AS edition_status FROM x""",
+    "decision_queue": "SELECT c_custkey AS candidate_id, arg_max(o_orderstatus, o_orderkey) AS decision, CASE WHEN count(o_orderkey) = 0 THEN 'pending' ELSE 'resolved' END AS queue FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
+    "text_encodings": "SELECT doc_id, CASE WHEN contains(text, chr(0)) THEN 'rejected' ELSE 'detected' END AS status, CASE WHEN NOT contains(text, chr(0)) THEN 'utf-8' END AS encoding, CASE WHEN NOT contains(text, chr(0)) THEN 'high' END AS confidence, CASE WHEN contains(text, chr(0)) THEN 'nul-bytes' END AS reason FROM documents",
     "deterministic_ids": "SELECT conv_id, turn, 'candidate-' || substring(sha256(CAST(conv_id AS VARCHAR) || chr(0) || CAST(turn AS VARCHAR) || chr(0) || coalesce(text, '')), 1, 16) AS candidate_id FROM conversations",
 }

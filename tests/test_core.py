@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from oracle import spark_rows, sql_rows
 from verdigris.functions import text as X
+from verdigris.operators import chapters as H
+from verdigris.operators import documents as D
 from verdigris.operators import events as E
 from verdigris.operators import evidence as V
 from verdigris.operators import quotes as Q
@@ -106,3 +108,25 @@ def test_streams_agree_with_tables(spark, tmp_path):
     assert sorted(r["event_id"] for r in spark.table("ids").collect()) == ["a", "b", "c", "d"]
     closed = {(str(r["week"]), r["event_type"]): r["events"] for r in spark.table("weeks").collect()}
     assert closed == {("2024-01-01", "x"): 2, ("2024-01-01", "y"): 1, ("2024-01-08", "x"): 1}
+
+
+def test_chapters_are_cut_at_headings_and_limits(spark):
+    text = "before\n\nChapter 1\n" + "a" * 25 + "\nx\ny\nz\nPreface\nlast"
+    docs = spark.createDataFrame([(1, text), (2, "one\rtwo"), (3, None), (4, " \n ")], "doc_id int, text string")
+    found = [tuple(r)[:6] for r in H.segment_chapters(docs, 30, 3, 10).orderBy("doc_id", "chapter", "paragraph_index").collect()]
+    assert [r[1:] for r in found if r[0] == 1] == [
+        (1, 1, H.PREFACE, 1, "before"), (3, 2, "Chapter 1", 1, "Chapter 1"), (4, 2, "Chapter 1", 2, "a" * 10), (4, 2, "Chapter 1", 3, "a" * 10),
+        (4, 3, H.CONTINUED.format("Chapter 1", 2), 1, "a" * 5), (5, 3, H.CONTINUED.format("Chapter 1", 2), 2, "x"), (6, 3, H.CONTINUED.format("Chapter 1", 2), 3, "y"),
+        (7, 4, H.CONTINUED.format("Chapter 1", 3), 1, "z"), (8, 5, "Preface", 1, "Preface"), (9, 5, "Preface", 2, "last"),
+    ]
+    assert [r[1:] for r in found if r[0] != 1] == [(1, 1, H.UNTITLED, 1, "one"), (2, 1, H.UNTITLED, 2, "two")]
+    text_back = {r["doc_id"]: r["t"] for r in H.segment_chapters(spark.read.parquet(f"{SF}/documents.parquet")).groupBy("doc_id").agg(F.sum(F.length("text")).alias("t")).collect()}
+    assert text_back == {r["doc_id"]: r["t"] for r in D.paragraphs(spark.read.parquet(f"{SF}/documents.parquet")).groupBy("doc_id").agg(F.sum(F.length("text")).alias("t")).collect()}
+
+
+def test_skipped_samples_are_replaced_by_the_nearest(spark):
+    paras = spark.createDataFrame([(1, 1, i + 1, f"p{i}") for i in range(20)] + [(2, 1, 1, "q0")], "doc_id int, chapter int, paragraph_index int, locator string")
+    analysed = spark.createDataFrame([(f"p{i}", None if i in (1, 3, 10) else "t") for i in range(20)] + [("q0", None)], "locator string, analysis_text string")
+    found = {r["locator"]: r["replacement"] for r in H.sample_with_replacement(paras, analysed).collect()}
+    same = {f"p{i}": f"p{i}" for i in (0, 2, 9, 11, 16, 17, 18, 19)}
+    assert found == same | {"p1": "p2", "p3": "p4", "p10": "p11", "q0": None}  # p11 is only taken by itself later

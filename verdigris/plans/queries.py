@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import catalog as C
+from ..operators import chapters as H
 from ..operators import documents as D
 from ..operators import events as E
 from ..operators import evidence as V
@@ -179,6 +180,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "coverage": _coverage,
     "shelf_union": _shelf_union,
     "set_checks": _set_checks,
+    "segment_chapters": lambda s, d: H.segment_chapters(_docs(s, d)),
+    "sample_replacements": lambda s, d: H.sample_with_replacement(_paras(s, d), D.analysis_text(_paras(s, d), _registry(s, d))),
     "narrow_by_order": _narrowed_by_order,
     "narrow_by_associated": _narrowed_by_text,
     "nearest_anchor": _nearest_view,

@@ -130,3 +130,13 @@ def test_skipped_samples_are_replaced_by_the_nearest(spark):
     found = {r["locator"]: r["replacement"] for r in H.sample_with_replacement(paras, analysed).collect()}
     same = {f"p{i}": f"p{i}" for i in (0, 2, 9, 11, 16, 17, 18, 19)}
     assert found == same | {"p1": "p2", "p3": "p4", "p10": "p11", "q0": None}  # p11 is only taken by itself later
+
+
+def test_fuzzy_tier_against_all_paragraphs(spark):
+    quotes = spark.createDataFrame([(1, "the quick brown fox jumps over the dog"), (2, "entirely other words stand here now"), (3, "too short")], "item_id int, text string")
+    texts = {"a": "So the quick brown fox jumped over the dog, they say.", "b": "the quick brown fox jumps over the dog", "c": "nothing of the kind is written here", "d": "entirely other words stood here now"}
+    paras = spark.createDataFrame(list(texts.items()), "locator string, text string")
+    found = {(r["item_id"], r["locator"]): (r["score"], r["rank"], r["accepted"]) for r in Q.quote_fuzzy(quotes, paras).collect()}
+    pairs = quotes.where("item_id < 3").crossJoin(paras).select("item_id", "locator", X.partial_similarity_udf(X.normalize_search(quotes["text"]), X.normalize_search(paras["text"])).alias("raw")).where("raw >= 0.88")
+    assert {k: v[0] for k, v in found.items()} == {(r["item_id"], r["locator"]): round(r["raw"], 4) for r in pairs.collect()}
+    assert found[(1, "b")][:2] == (1.0, 1) and set(found) >= {(1, "b"), (2, "d")}

@@ -1,0 +1,55 @@
+"""The near-duplicate stage against all pairs of five-word Jaccard similarity."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from verdigris.llm import near_copies
+
+SF = "/root/testdata/sf0.001"
+
+
+def _plain(rows):
+    """The ids that stay when every pair of similarity 0.8 or more is linked."""
+    sets = {}
+    for d, t in rows:
+        w = (t or "").lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    group = {d: d for d in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and group[a] != group[b] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                low, high = sorted((group[a], group[b]))
+                group = {d: low if g == high else g for d, g in group.items()}
+    return sorted(d for d in group if group[d] == d)
+
+
+def _stays(docs, **how):
+    return sorted(r["doc_id"] for r in near_copies.deduplicated(docs, **how).select("doc_id").collect())
+
+
+@pytest.mark.parametrize("bucket", [64, 2])
+def test_all_pairs_of_the_corpus(spark, bucket):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    assert _stays(docs, most_in_bucket=bucket) == _plain(rows) and not {145, 177} & set(_stays(docs))
+
+
+@pytest.mark.parametrize("bucket", [64, 3])
+def test_planted_near_copies(spark, bucket):
+    """Groups around a text with few or many words changed, short texts, and a passage that all share."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(3000)}"
+    rows, passage = [], [word() for _ in range(12)]
+    for _ in range(12):
+        base = [word() for _ in range(rng.choice([3, 6, 30, 300]))] + passage * rng.randrange(2)
+        for _ in range(9):
+            copy = list(base)
+            for _ in range(rng.randrange(1 + max(1, len(copy) // 40))):
+                copy[rng.randrange(len(copy))] = word()
+            rows.append((len(rows), " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    want = _plain(rows)
+    assert 12 < len(want) < len(rows) and _stays(docs, most_in_bucket=bucket) == want
+    assert near_copies.deduplicated(docs.where(F.lit(False))).count() == 0

@@ -1,0 +1,149 @@
+"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, all pairs of them.
+
+Two such texts share at least 80 % of either's shingles. With shingles in one order for all texts, both then have
+``SHARED`` of them in common within a prefix of about a fifth of each: pairs meet there, those that share too few
+are dropped, and all that are left are verified on the whole sets. The order puts shingles that a sample of the
+texts has often last. Any order gives the same links; this one keeps common passages out of most prefixes.
+
+A shingle in the prefixes of more than ``most_in_bucket`` texts is first used to link its texts to a few of them;
+then only pairs of different components are formed, as other links would join nothing.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut, text_or_empty
+from .components import connected_components
+
+SEED = 42
+#: Shingles that a pair must share within the prefixes.
+SHARED = 4
+#: Texts in the sample, shingles kept of it, and texts that a crowded bucket links all others to.
+SAMPLE, COMMON, CENTRES = 20_000, 50_000, 16
+
+
+def shingles(text: bytes, width: int = 5) -> np.ndarray:
+    """The sorted distinct XXH64 hashes of the windows of ``width`` words (fewer words: all of them, none: the empty text)."""
+    from xxhash import xxh64_intdigest as digest
+
+    found = text.lower().split()
+    n = max(1, len(found) - width + 1)
+    return np.unique(np.fromiter((digest(b" ".join(found[i : i + width]), SEED) for i in range(n)), np.uint64, n))
+
+
+def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that are frequent in a sample of bounded size, sorted, and how often each occurs there."""
+    step = max(1, texts.count() // SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t.as_py(), width).view(np.int64) for t in batch.column(1)]
+            if found:
+                yield pa.RecordBatch.from_pydict({"shingle": pa.array(np.concatenate(found))})
+
+    every = texts.where(F.pmod(F.xxhash64("h"), F.lit(step)) == 0).mapInArrow(run, "shingle bigint")
+    rows = every.groupBy("shingle").count().where("count > 2").orderBy(F.desc("count"), "shingle").limit(COMMON).collect()
+    hashes, counts = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def _prefixes(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """``h, n, shingle``: the prefix of each text, with the number of its shingles."""
+    hashes, counts = _common(texts, width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sizes, prefixes = [], []
+                for t in part.column(1):
+                    s = shingles(t.as_py(), width)
+                    weight = np.zeros(len(s), np.int64)
+                    if len(hashes):
+                        spot = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
+                        weight = np.where(hashes[spot] == s, counts[spot], 0)
+                    sizes.append(len(s))
+                    prefixes.append(s[np.lexsort((s, weight))][: len(s) - (len(s) * percent + 99) // 100 + SHARED].view(np.int64))
+                reps = np.array([len(p) for p in prefixes])
+                yield pa.RecordBatch.from_pydict({
+                    "h": pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), reps), pa.int64()),
+                    "n": pa.array(np.repeat(np.array(sizes, np.int32), reps)), "shingle": pa.array(np.concatenate(prefixes)),
+                })
+
+    return texts.mapInArrow(run, "h bigint, n int, shingle bigint")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose whole sets are similar enough."""
+    pairs = cut(pairs)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"h": batch.column(0), "s": pa.array([shingles(t.as_py(), width).tobytes() for t in batch.column(1)], pa.binary())})
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                s, t = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = np.intersect1d(s, t, assume_unique=True).size
+                keep.append(100 * both >= percent * (len(s) + len(t) - both))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    known = cut(texts.join(asked, "h", "left_semi").dropDuplicates(["h"]).mapInArrow(sets, "h bigint, s binary"))
+    x, y = known.toDF("a", "x"), known.toDF("b", "y")
+    return cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint"))
+
+
+def near_links(texts: DataFrame, width: int = 5, percent: int = 80, most_in_bucket: int = 64) -> DataFrame:
+    """``a, b``: links between texts (``h, text`` as binary) that join the same components as all similar pairs do."""
+    buckets = _prefixes(texts, width, percent).groupBy("shingle").agg(F.array_sort(F.collect_set(F.struct("h", "n"))).alias("m")).where("size(m) > 1")
+    buckets = cut(buckets)
+    sizes = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+    def pair(x: Column, y: Column) -> Column:
+        need = F.least(F.lit(SHARED), F.ceil(F.greatest(x["n"], y["n"]) * percent / 100).cast("int"))
+        return F.struct(x["h"].alias("a"), y["h"].alias("b"), need.alias("need"))
+
+    few = buckets.where(F.size("m") <= most_in_bucket)
+    few = few.select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["h"] < x["h"]) & sizes(x["n"], y["n"])), lambda y: pair(x, y))))).alias("p")).select("p.*")
+
+    crowded = buckets.where(F.size("m") > most_in_bucket)
+    ends = crowded.select(F.explode(F.transform("m", lambda x, i: F.struct(x.alias("x"), F.concat(F.slice("m", 1, CENTRES), F.slice("m", F.greatest(i, F.lit(1)), F.lit(1))).alias("to")))).alias("e"))
+    ends = ends.select("e.x", F.explode("e.to").alias("y")).where((F.col("y.h") < F.col("x.h")) & sizes(F.col("x.n"), F.col("y.n")))
+    first = _verified(ends.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct(), texts, width, percent)
+    roots = connected_components(first)
+    members = crowded.select("shingle", F.explode("m").alias("x")).select("shingle", "x", F.col("x.h").alias("node")).join(roots, "node", "left")
+    members = members.select("shingle", "x", F.coalesce("root", "node").alias("root"))
+    open_ = members.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
+    members = cut(members.join(open_, "shingle", "left_semi"))
+    left, right = members.toDF("shingle", "x", "root"), members.toDF("shingle", "y", "other")
+    met = left.join(right, "shingle").where((F.col("root") != F.col("other")) & (F.col("y.h") < F.col("x.h")) & sizes(F.col("x.n"), F.col("y.n")))
+    many = met.select(pair(F.col("x"), F.col("y")).alias("p")).select("p.*")
+
+    tally = few.unionByName(many).groupBy("a", "b", "need").agg(F.count("*").alias("shared")).where("shared >= need").select("a", "b")
+    return first.unionByName(_verified(tally, texts, width, percent))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, most_in_bucket: int = 64) -> DataFrame:
+    """``docs`` with one document of each component of near copies: that with the smallest id, a null id being the last.
+
+    A document is an id with a text (told by its 64-bit hash): of rows with the same id, null or not, and different
+    texts each is a document of its own, and repeats of a document's row are dropped. Null text counts as empty;
+    texts without words are copies of each other. Other columns are never read.
+    """
+    keyed = docs.withColumn("__h", F.xxhash64(text_or_empty(text_col)))
+    texts = keyed.select(F.col("__h").alias("h"), text_or_empty(text_col).cast("binary").alias("text"))
+    roots = connected_components(near_links(texts, width, percent, most_in_bucket))
+    rows = keyed.select(F.col(id_col).alias("__kept"), F.col("__h").alias("__of")).distinct()
+    rows = rows.join(roots, rows["__of"] == roots["node"], "left").withColumn("root", F.coalesce("root", "__of"))
+    keep = rows.groupBy("root").agg(F.min(F.struct(F.col("__kept").isNull().alias("last"), "__kept", "__of")).alias("k")).select("k.__kept", "k.__of")
+    return keyed.join(keep, keyed[id_col].eqNullSafe(keep["__kept"]) & (keyed["__h"] == keep["__of"]), "left_semi").dropDuplicates([id_col, "__h"]).drop("__h")

@@ -137,12 +137,5 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return own.join(of_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, width: int = 5) -> DataFrame:
-    """``docs`` with one document of each component, that with the smallest id. Ids must name one text each."""
-    found = simhash_dedup(docs, id_col, text_col, distance, width)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept"))
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["__kept"]), "left_semi").dropDuplicates([id_col])
-
-
 def op2_query(spark, sf_dir: str) -> DataFrame:
     return simhash_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -8,15 +8,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from verdigris.llm import exact_dedup, mixing, near_copies, pieces, toxicity
-from verdigris.llm.common import shared_folder
+from verdigris.llm.common import shared_folder, text_or_empty
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is under one half, by a grammar learned from the labelled rows of the training fold."""
-    bad = toxicity.toxicity(docs, toxicity.taught(spark, sf_dir, docs)).where("predicted = 1").select("doc_id").withColumnRenamed("doc_id", "__bad")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    """Documents whose score is under one half, by a grammar learned from the labelled rows of the training fold. A row is told by its id and its text."""
+    text = F.xxhash64(text_or_empty())
+    told = docs.select(F.struct("doc_id", text.alias("h")).alias("doc_id"), "text")
+    bad = toxicity.toxicity(told, toxicity.taught(spark, sf_dir, docs)).where("predicted = 1").select(F.col("doc_id.doc_id").alias("__bad"), F.col("doc_id.h").alias("__h"))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]) & (text == bad["__h"]), "left_anti")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,10 +72,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``exact_dedup`` drops, and without repeats of a kept row.
 
-    Ids must name one text each (a row is dropped or kept by its id).
+    A row is told by its id and its text, so rows of one id (or none) with different texts are decided each for itself.
     """
-    keep = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept"))
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["__kept"]), "left_semi").dropDuplicates([id_col])
+    keep = exact_dedup(docs, id_col, text_col).where("kept").select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "norm_chars", "prefix_hash", "content_sha256")])
+    norm = spaced(text_or_empty(text_col))
+    rows = docs.withColumns({"__chars": F.length(norm), "__prefix": F.xxhash64(F.substring(norm, 1, 64))})
+    # Without a full hash no other row has the same length and prefix.
+    same = F.col("__content_sha256").isNull() | (F.col("__content_sha256") == F.sha2(norm, 256))
+    kept = rows.join(keep, rows[id_col].eqNullSafe(keep["__doc_id"]) & (F.col("__chars") == F.col("__norm_chars")) & (F.col("__prefix") == F.col("__prefix_hash")) & same)
+    return kept.dropDuplicates(["__doc_id", "__norm_chars", "__prefix_hash", "__content_sha256"]).select(*docs.columns)
 
 
 def op3_query(spark, sf_dir: str) -> DataFrame:

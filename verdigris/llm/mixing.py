@@ -74,8 +74,13 @@ def mix_sources(
     is ordered as an empty one. Repeated rows are chosen one by one, in one place of the order. An empty table gives
     an empty result; other columns are never read.
     """
+    return _chosen(docs, F.lit(0), id_col, text_col, lang_col, source_col, domain, weights, budget_share, max_epochs, seed).drop("text_hash")
+
+
+def _chosen(docs: DataFrame, text_hash: Column, id_col: str, text_col: str, lang_col: str, source_col: str, domain: Column | None, weights: dict[str, dict[str, float]] | None, budget_share: float, max_epochs: int, seed: int) -> DataFrame:
+    """The rows of ``mix_sources`` with ``text_hash``, by which rows of one id are ordered and told apart."""
     weights = WEIGHTS if weights is None else weights
-    rows = docs.select(F.col(id_col).alias("doc_id"), (source_domain(source_col) if domain is None else domain).alias("domain"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.size(words(text_or_empty(text_col))).cast("long").alias("n_tokens"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_hash.alias("text_hash"), (source_domain(source_col) if domain is None else domain).alias("domain"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.size(words(text_or_empty(text_col))).cast("long").alias("n_tokens"))
     budgets = leaf_budgets(rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("available")), weights, budget_share, max_epochs)
     plan = budgets.select(*LEAF, F.when(F.col("available") > 0, F.floor(F.col("given") / F.col("available"))).otherwise(F.lit(0)).alias("epochs"), F.when(F.col("available") > 0, F.col("given") % F.col("available")).otherwise(F.lit(0)).alias("rest"))
     placed = join_same(rows, plan, LEAF)
@@ -85,19 +90,26 @@ def mix_sources(
     sums = placed.groupBy(*LEAF, "bucket").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
     so_far = Window.partitionBy(*LEAF).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = sums.withColumn("end", F.sum("n").over(so_far)).where(F.col("end") > F.col("rest")).groupBy(*LEAF).agg(F.min(F.struct("bucket", (F.col("end") - F.col("n")).alias("before"))).alias("stop"))
-    cut_at = join_same(placed, ends, LEAF, "left").select("doc_id", *LEAF, "n_tokens", "epochs", "rest", "key", "bucket", "stop.before", F.col("stop.bucket").alias("stop"))
+    cut_at = join_same(placed, ends, LEAF, "left").select("doc_id", "text_hash", *LEAF, "n_tokens", "epochs", "rest", "key", "bucket", "stop.before", F.col("stop.bucket").alias("stop"))
     clear = cut_at.where("stop is null or bucket <> stop").withColumn("more", F.when(F.col("stop").isNull() | (F.col("bucket") < F.col("stop")), 1).otherwise(0))
-    order = Window.partitionBy(*LEAF, "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy(*LEAF, "bucket").orderBy("key", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = cut_at.where("bucket = stop").withColumn("more", (F.col("before") + F.sum("n_tokens").over(order) <= F.col("rest")).cast("int"))
-    return clear.unionByName(last).select("doc_id", *LEAF, "n_tokens", (F.col("epochs") + F.col("more")).cast("long").alias("copies"))
+    return clear.unionByName(last).select("doc_id", "text_hash", *LEAF, "n_tokens", (F.col("epochs") + F.col("more")).cast("long").alias("copies"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """``docs``, each row as often as the mix has it. Ids must name one text each."""
-    id_col = options.get("id_col", "doc_id")
-    found = mix_sources(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    out = docs.join(found, docs[id_col].eqNullSafe(found["__id"])).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return out.select(*[docs[c] for c in docs.columns])
+def mixed(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", domain: Column | None = None,
+    weights: dict[str, dict[str, float]] | None = None, budget_share: float = 0.5, max_epochs: int = 2, seed: int = 42,
+) -> DataFrame:
+    """``docs``, each row as often as the mix has it. A row is told by its id, text, language, source and domain; equal rows share their copies out."""
+    mine = {"__id": F.col(id_col), "__h": F.xxhash64(text_or_empty(text_col)), "__domain": source_domain(source_col) if domain is None else domain, "__lang": F.col(lang_col), "__source": F.col(source_col)}
+    found = _chosen(docs, mine["__h"], id_col, text_col, lang_col, source_col, domain, weights, budget_share, max_epochs, seed)
+    found = found.toDF("__id", "__h", "__domain", "__lang", "__source", "n_tokens", "copies").groupBy(*mine).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).where("__copies > 0")
+    out = join_same(docs.withColumns(mine), found, list(mine))
+    out = out.withColumn("__at", F.row_number().over(Window.partitionBy(*mine).orderBy("__copies")))
+    share = F.expr("__copies div __rows + if(__at <= __copies % __rows, 1, 0)")
+    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.when(share > 0, share), F.lit(1))))
+    return out.select(*docs.columns)
 
 
 def op7_query(spark, sf_dir: str) -> DataFrame:

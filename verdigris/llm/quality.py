@@ -104,12 +104,14 @@ def _repeat_words() -> Column:
 
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 50, max_repeat_percent: int = 50,
-    max_char_distance: float = 0.26, max_word_distance: float = 0.5, guard_words: int = 80, references: dict[str, tuple[list[int], list[int]]] | None = None,
+    max_char_distance: float = 0.26, max_word_distance: float = 0.25, guard_words: int = 80, references: dict[str, tuple[list[int], list[int]]] | None = None,
 ) -> DataFrame:
     """One row per input row: the base figures, both distances, and the verdict ``kept``.
 
     Null text has no words. A null or unnamed language is compared to the reference of all such documents. Texts
-    under ``guard_words`` words have too few counts for a histogram and are judged by the base rules alone. Equal
+    under ``guard_words`` words have too few counts for a histogram and are judged by the base rules alone. About 84 %
+    of a language's words are none of its common words, so a text with none of them is only 0.29 to 0.30 away from
+    its reference; ``max_word_distance`` is below that and above all but one of the documents labelled good. Equal
     and repeated rows get equal figures; an empty table gives an empty result; other columns are never read.
     """
     rows = _measured(docs, id_col, text_col, lang_col).withColumns({"__lines": F.filter(F.split("__text", "\n"), lambda x: F.btrim(x, F.lit(BLANK)) != ""), "n_repeat_words": _repeat_words()})

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from difflib import SequenceMatcher
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,19 +85,68 @@ def quote_status(quotes: DataFrame, paras: DataFrame) -> DataFrame:
     return rows.select("item_id", status.alias("status"), n.cast("bigint").alias("candidate_count"), F.when(n == 1, F.col("first")).alias("locator"))
 
 
-def quote_fuzzy(quotes: DataFrame, paras: DataFrame, admit: float = 0.88, accept: float = 0.94, lead: float = 0.05, kept: int = 10) -> DataFrame:
+def _trigrams(text: str) -> np.ndarray:
+    """The text's windows of three characters, as numbers."""
+    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return (a[:-2] << 42) | (a[1:-1] << 21) | a[2:]
+
+
+def _similar(p: DataFrame, kind, quotes: list[tuple], admit: float) -> DataFrame:
+    """``item_id, locator, raw``: all pairs whose best window has a ratio of ``admit`` or more.
+
+    A ratio of r over s characters (quote and window) has r*s/2 matched ones in at most (1-r)*s+1 blocks, since
+    an unmatched character stands between two blocks. A block of n has n-2 windows of three, so either side has
+    at least (2.5*r-2)*s-2 places whose window of three is in the other. Fewer cannot reach r.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = [_trigrams(q) for _, q in quotes]
+        own = [np.unique(g) for g in grams]
+        lengths = np.array([len(q) for _, q in quotes], np.int64)
+        flat, owner = np.concatenate([*grams, np.zeros(0, np.int64)]), np.repeat(np.arange(len(quotes)), [len(g) for g in grams])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        for batch in batches:
+            items, places, raws = [], [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                held = _trigrams(t)
+                seen = np.unique(held)
+                low, high = np.searchsorted(flat, seen), np.searchsorted(flat, seen, "right")
+                n = high - low
+                at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                shared = np.bincount(owner[at], minlength=len(quotes))
+                widths = np.minimum(len(t), lengths + np.maximum(4, lengths // 5))
+                least = np.ceil((2.5 * admit - 2) * (lengths + widths) - 2 - 1e-6)
+                for k in np.flatnonzero((shared >= least) & (2 * np.minimum(lengths, widths) >= (admit - 1e-9) * (lengths + widths))):
+                    width, q = int(widths[k]), quotes[k][1]
+                    starts = np.array(sorted({*range(0, len(t) - width + 1, max(1, len(q) // 6)), len(t) - width}))
+                    upto = np.r_[0, np.cumsum(np.isin(held, own[k]))]
+                    can = starts[upto[starts + max(0, width - 2)] - upto[starts] >= least[k]] if len(held) else starts
+                    raw = max((SequenceMatcher(None, q, t[s : s + width]).ratio() for s in can.tolist()), default=0.0)
+                    if raw >= admit:
+                        items.append(quotes[k][0])
+                        places.append(i)
+                        raws.append(raw)
+            yield pa.RecordBatch.from_pydict({"item_id": pa.array(items, to_arrow_type(kind)), "locator": batch.column(0).take(pa.array(places, pa.int64())), "raw": pa.array(raws, pa.float64())})
+
+    return p.select("locator", "norm").mapInArrow(run, f"item_id {kind.simpleString()}, locator string, raw double")
+
+
+def quote_fuzzy(quotes: DataFrame, paras: DataFrame, admit: float = 0.88, accept: float = 0.94, lead: float = 0.05, kept: int = 10, most_chars: int = MOST_CHARS) -> DataFrame:
     """Paragraphs similar to quotes of twelve characters or more: ranked, ten kept, the top one accepted if it leads.
 
-    Candidates share a gram of eight characters with the quote; similarity is measured on those alone.
+    Every paragraph is held against every quote. Similarity is measured on the windows that can reach ``admit``.
     """
-    wide = 8
     q = quotes.select("item_id", X.normalize_search(F.col("text")).alias("quote")).where(F.length("quote") >= 12)
-    p = paras.select("locator", X.normalize_search(F.col("text")).alias("norm")).where(F.length("norm") >= 12)
-    asked = q.select("item_id", F.length("quote").alias("chars"), F.explode(F.array_distinct(_grams("quote", wide))).alias("gram"))
-    held = p.select("locator", F.explode(F.array_distinct(_grams("norm", wide))).alias("gram"))
-    near = held.join(asked, "gram").groupBy("item_id", "locator").agg(F.count("*").alias("shared"), F.first("chars").alias("chars")).where("shared >= chars / 20").select("item_id", "locator")
-    pairs = near.join(q, "item_id").join(p, "locator")
-    scored = pairs.select("item_id", "locator", X.partial_similarity_udf("quote", "norm").alias("raw")).where(F.col("raw") >= admit)
+    p = paras.select("locator", X.normalize_search(F.col("text")).alias("norm")).where(F.length("norm") > 0)
+    blocks, chars = [[]], 0
+    for r in q.toLocalIterator():
+        chars += len(r["quote"])
+        if blocks[-1] and chars > most_chars:
+            blocks.append([])
+            chars = len(r["quote"])
+        blocks[-1].append((r["item_id"], r["quote"]))
+    scored = reduce(DataFrame.unionByName, [_similar(p, q.schema["item_id"].dataType, some, admit) for some in blocks]).distinct()
     order = Window.partitionBy("item_id").orderBy(F.desc("raw"), "locator")
     ranked = scored.select("item_id", "locator", F.bround("raw", 4).alias("score"), F.row_number().over(order).alias("rank"), F.lead("raw").over(order).alias("next"))
     won = (F.col("rank") == 1) & (F.col("score") >= accept) & (F.col("score") - F.coalesce("next", F.lit(0.0)) >= lead)

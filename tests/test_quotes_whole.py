@@ -29,3 +29,13 @@ def test_fuzzy_tier_has_every_similar_paragraph(spark):
         found = Q.quote_fuzzy(spark.createDataFrame(quotes, "item_id string, text string"), spark.createDataFrame(paras, "locator string, text string"), most_chars=most).collect()
         assert {(r["item_id"], r["locator"]): r["score"] for r in found} == want
     assert Q.quote_fuzzy(spark.createDataFrame([], "item_id string, text string"), spark.createDataFrame(paras, "locator string, text string")).where(F.lit(True)).count() == 0
+
+
+def test_short_quotes_are_found_and_ambiguous(spark):
+    quotes = spark.createDataFrame([(1, "fox"), (2, "O wl"), (3, "x"), (4, " "), (5, "brown fox"), (6, "zebra")], "item_id int, text string")
+    paras = spark.createDataFrame([("a", "the brown fox"), ("b", "fox"), ("c", "an owl")], "locator string, text string")
+    for most in (Q.MOST_CHARS, 0):
+        hits = sorted(map(tuple, Q.quote_hits(quotes, paras, most_chars=most).collect()))
+        assert hits == [(1, "a"), (1, "b"), (2, "c"), (3, "a"), (3, "b"), (5, "a")]
+    found = {r["item_id"]: (r["status"], r["candidate_count"]) for r in Q.quote_status(quotes, paras).collect()}
+    assert found == {1: ("ambiguous", 2), 2: ("ambiguous", 1), 3: ("ambiguous", 2), 4: ("empty", 0), 5: ("exact", 1), 6: ("not-found", 0)}

@@ -1,4 +1,4 @@
-"""Where quotations stand: containment, loose and fuzzy tiers, with explicit ambiguity."""
+"""Where quotations stand: containment and fuzzy tiers, with explicit ambiguity. The loose tier (containment without punctuation) is missing."""
 
 from __future__ import annotations
 
@@ -23,12 +23,15 @@ def quote_hits(quotes: DataFrame, paras: DataFrame, most_chars: int = MOST_CHARS
     """``item_id, locator``: paragraphs whose normalised text contains the normalised quote, each pair once.
 
     Quotes of at most ``most_chars`` characters together go to every task, which reads its paragraphs once: nothing
-    is shuffled. Beyond that bound both sides meet by grams.
+    is shuffled. Beyond that bound both sides meet by grams, except for quotes shorter than a gram.
     """
-    q = quotes.select("item_id", X.normalize_search(F.col("text")).alias("quote")).where(F.length("quote") >= GRAM)
-    p = paras.select("locator", X.normalize_search(F.col("text")).alias("norm")).where(F.length("norm") >= GRAM)
+    q = quotes.select("item_id", X.normalize_search(F.col("text")).alias("quote")).where(F.length("quote") > 0)
+    p = paras.select("locator", X.normalize_search(F.col("text")).alias("norm")).where(F.length("norm") > 0)
     chars = q.agg(F.sum(F.length("quote"))).first()[0] or 0
-    return _hits_by_scan(q, p) if chars <= most_chars else _hits_by_gram(q, p)
+    if chars <= most_chars:
+        return _hits_by_scan(q, p)
+    short, long = F.length("quote") < GRAM, F.length("quote") >= GRAM
+    return _hits_by_gram(q.where(long), p.where(F.length("norm") >= GRAM)).unionByName(_hits_by_scan(q.where(short), p))
 
 
 def _hits_by_scan(q: DataFrame, p: DataFrame) -> DataFrame:

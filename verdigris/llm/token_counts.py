@@ -79,6 +79,8 @@ def pre_tokens(text: str) -> list[str]:
         else:
             out.append(MARK + part if gap else part)
             gap = False
+    if gap and text:
+        out.append(MARK)
     return out
 
 

@@ -103,7 +103,7 @@ def _brute_cuts(rows, length=50):
     return out
 
 
-@pytest.mark.parametrize("most", [2000, 2])
+@pytest.mark.parametrize("most", [2000, 2, 1])
 def test_suffix_dedup_against_all_windows(docs, most):
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.suffix_dedup(docs, most_segments=most).collect()}
@@ -114,6 +114,40 @@ def test_suffix_dedup_edges(edge, empty):
     rows = [(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.suffix_dedup(edge).collect()]
     assert len(rows) == len(EDGE) and all(r[2] == 0 for r in rows) and (5, 240_000, 0) in rows
     assert suffix_dedup.suffix_dedup(empty).count() == 0
+    with pytest.raises(TypeError):
+        suffix_dedup.suffix_dedup(edge, id_col="lang")
+
+
+def test_suffix_dedup_with_repeated_and_null_ids(spark):
+    """Rows of one id never take from each other; each loses what smaller ids have, also where its id has other texts."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh ") for _ in range(120))
+    a, b, c = word(), word(), word()
+    rows = [(1, a), (2, b + a), (2, b + a), (2, c + b), (2, c + b), (3, b), (3, c + "x" + a[:60]), (None, a), (None, a), (4, None), (-5, b[20:90])]
+    first: dict[bytes, int] = {}
+    for d, t in rows:
+        if d is not None:
+            for i in range(len(t or "") - 49):
+                w = t[i : i + 50].encode()
+                first[w] = min(first.get(w, d), d)
+    want = []
+    for d, t in rows:
+        t = (t or "").encode()
+        gone = bytearray(len(t))
+        for i in range(len(t) - 49):
+            if d is not None and first[t[i : i + 50]] < d:
+                gone[i : i + 50] = b"\1" * 50
+        want.append((d, bytes(x for x, g in zip(t, gone, strict=True) if not g)))
+    for most in (2000, 1):
+        got = [(r["doc_id"], bytes(r["kept"])) for r in suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), most_segments=most, buckets=3).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_window_owners():
+    """Without the suffix order the result is another one."""
+    segments = [(0, b"p" * 10 + b"g" * 24 + b"q" * 26, 10, 7), (0, b"p" * 10 + b"g" * 24 + b"q" * 20 + b"r" * 6, 10, 3)]
+    low = suffix_dedup.window_owners(segments, 50)
+    assert low[0].tolist() == [3] * 5 + [7] * 6 and low[1].tolist() == [3] * 11
 
 
 def test_chat_reads_back(spark):

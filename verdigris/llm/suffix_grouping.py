@@ -9,18 +9,20 @@ no smaller problem is sorted.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 
-def suffix_order(text: bytes) -> list[int]:
-    """Starts of all suffixes of ``text`` in lexicographic order (a proper prefix comes first)."""
+
+def suffix_order(text: Sequence[int], alphabet: int = 256) -> list[int]:
+    """Starts of all suffixes of ``text`` (bytes, or numbers below ``alphabet``) in lexicographic order (a proper prefix comes first)."""
     n = len(text)
     if not n:
         return []
     at_start, order, place, size = [0] * n, [0] * n, [0] * n, [0] * n
-    counts = [0] * 256
+    counts = [0] * alphabet
     for c in text:
         counts[c] += 1
-    first, total = [0] * 256, 0
-    for c in range(256):
+    first, total = [0] * alphabet, 0
+    for c in range(alphabet):
         first[c] = total
         if counts[c]:
             size[total] = counts[c]

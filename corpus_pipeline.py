@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import exact_dedup, mixing, near_copies, pieces, toxicity
+from verdigris.llm import exact_dedup, mixing, pieces, simhash, toxicity
 from verdigris.llm.common import shared_folder, text_or_empty
 
 
@@ -28,8 +28,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first of each group of documents whose five-word shingles have a Jaccard similarity of 0.8 or more."""
-    return near_copies.deduplicated(docs)
+    """The first of each group of documents whose five-word SimHashes are within four bits, and whose shingles have a Jaccard similarity of 0.8 or more."""
+    return simhash.deduplicated(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,10 +21,12 @@ def test_pipeline_against_plain_steps(spark):
     kept = kept[[float(grammar.score([reader.features(t)])[0]) < 0.5 for t in kept.text]]
     kept = kept[~kept.text.map(lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t)).duplicated()]
     ids, fp = list(kept.doc_id), {d: simhash.fingerprint(t.encode(), 5) % (1 << 64) for d, t in zip(kept.doc_id, kept.text, strict=True)}
+    words = dict(zip(kept.doc_id, kept.text.str.lower().str.split(), strict=True))
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, w in words.items()}
     group = {d: d for d in ids}
     for a in ids:
         for b in ids:
-            if group[a] != group[b] and (fp[a] ^ fp[b]).bit_count() <= 4:
+            if group[a] != group[b] and (fp[a] ^ fp[b]).bit_count() <= 4 and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
                 low, high = sorted((group[a], group[b]))
                 group = {d: low if g == high else g for d, g in group.items()}
     documents = kept[[group[d] == d for d in kept.doc_id]]

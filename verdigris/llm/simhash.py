@@ -1,10 +1,10 @@
 """SimHash near-dedup through a byte-position inverted index with count filtering.
 
 Two 64-bit fingerprints that differ in at most ``distance`` bits differ in at most so many of their eight bytes,
-so at least ``8 - distance`` positional bytes match. The index has, for each fingerprint, the sets of so many
-positional bytes: a pair that reaches the guaranteed minimum of matches meets under at least one set. Pairs are
-formed under the first set they share, their matching positional bytes are tallied, and pairs that reach the
-minimum are verified bit by bit.
+so at least ``8 - distance`` positional bytes match. The index is keyed by sets of so many positional bytes, not by
+single ones, whose lists would each have a 256th of all rows: a pair that reaches the guaranteed minimum of matches
+meets under at least one set. A pair under a set is tallied over all eight positional bytes, then verified bit by
+bit, and kept under the first set it shares.
 
 Equal fingerprints are one row of the index. A set that more than ``most_in_bucket`` fingerprints share is not
 paired up: its fingerprints are linked through the values within half the distance of each instead (two
@@ -73,8 +73,11 @@ def _byte(x: Column, at: int) -> Column:
     return F.shiftrightunsigned(x, 8 * at).bitwiseAND(F.lit(255))
 
 
-def _links(fps: DataFrame, distance: int, most_in_bucket: int) -> DataFrame:
-    """``a, b``: links between different fingerprints (column ``fp``, distinct) that join the same components as all links do."""
+def _met(nodes: DataFrame, distance: int, most_in_bucket: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``node, fp`` (both distinct rows): pairs ``a, b`` of nodes within the distance, each once, and ``place, node`` of those that meet in crowded sets.
+
+    Every two nodes within the distance are a pair or share a place, and nodes that share a place are within the distance.
+    """
     least = BYTES - distance
     sets = list(combinations(range(BYTES), least))
 
@@ -84,22 +87,23 @@ def _links(fps: DataFrame, distance: int, most_in_bucket: int) -> DataFrame:
             out = F.shiftleft(out, 8).bitwiseOR(_byte(F.col("fp"), p))
         return out  # the number of the set above four or six bytes
 
-    index = fps.select("fp", F.posexplode(F.array(*[key(at, k) for k, at in enumerate(sets)])).alias("set", "key"))
+    index = nodes.select("node", "fp", F.posexplode(F.array(*[key(at, k) for k, at in enumerate(sets)])).alias("set", "key"))
     sizes = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(index.join(sizes, "key").select("key", "set", "fp", "n"))
-
-    buckets = shared.where(F.col("n") <= most_in_bucket).groupBy("key").agg(F.min("set").alias("set"), F.collect_list("fp").alias("fps"))
-    differ = lambda x, y: x.bitwiseXOR(y)
-    pairs = buckets.select("set", F.explode(F.flatten(F.transform("fps", lambda x: F.transform(F.filter("fps", lambda y: (y < x) & (F.bit_count(differ(x, y)) <= distance)), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("set", "p.a", "p.b")
-    changed = sum((F.when(_byte(differ(F.col("a"), F.col("b")), p) != 0, F.lit(1 << p)).otherwise(F.lit(0)) for p in range(BYTES)), F.lit(0))
-    pairs = pairs.withColumn("changed", changed)
-    tally = BYTES - F.bit_count("changed")
+    shared = cut(index.join(sizes, "key").select("key", "set", "node", "fp", "n"))
+
+    # Postings: pairs under one set, then the tally of all their matching positional bytes, then the bits.
+    buckets = shared.where(F.col("n") <= most_in_bucket).groupBy("key").agg(F.min("set").alias("set"), F.collect_list(F.struct("node", "fp")).alias("m"))
+    differ = lambda x, y: x["fp"].bitwiseXOR(y["fp"])
+    tally = lambda d: sum((F.when(_byte(d, p) == 0, 1).otherwise(0) for p in range(BYTES)), F.lit(0))
+    enough = lambda d: (tally(d) >= least) & (F.bit_count(d) <= distance)
+    pairs = buckets.select("set", F.explode(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["node"] < x["node"]) & enough(differ(x, y))), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), differ(x, y).alias("d")))))).alias("p")).select("set", "p.*")
+    changed = sum((F.when(_byte(F.col("d"), p) != 0, F.lit(1 << p)).otherwise(F.lit(0)) for p in range(BYTES)), F.lit(0))
     first = F.array(*[F.lit(sum(1 << q for q in range(at[-1]) if q not in at)) for at in sets])  # bytes that must differ for this to be the first set shared
     must = F.get(first, F.col("set"))
-    paired = pairs.where((tally >= least) & (F.col("changed").bitwiseAND(must) == must) & (F.bit_count(differ(F.col("a"), F.col("b"))) <= distance)).select("a", "b")
+    paired = pairs.withColumn("changed", changed).where(F.col("changed").bitwiseAND(must) == must).select("a", "b")
 
-    # Buckets beyond the bound: no pairs, but meeting places.
-    crowded = shared.where(F.col("n") > most_in_bucket).select("fp").distinct()
+    # Sets beyond the bound: no pairs, but meeting places.
+    crowded = shared.where(F.col("n") > most_in_bucket).select("node", "fp").distinct()
     half = distance // 2
     near = [0] + [sum(1 << i for i in c) for r in range(1, half + 1) for c in combinations(range(64), r)]
     signed = [x - (1 << 64) if x >> 63 else x for x in near]
@@ -107,15 +111,76 @@ def _links(fps: DataFrame, distance: int, most_in_bucket: int) -> DataFrame:
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = np.array(signed, np.int64)
         for batch in batches:
-            every = batch.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(every), 100):
-                some = every[at : at + 100]
-                yield pa.RecordBatch.from_pydict({"fp": pa.array(np.repeat(some, len(masks))), "place": pa.array((some[:, None] ^ masks[None, :]).ravel())})
+            for at in range(0, batch.num_rows, 100):
+                some = batch.slice(at, 100)
+                spots = some.column(1).to_numpy(zero_copy_only=False)[:, None] ^ masks[None, :]
+                yield pa.RecordBatch.from_pydict({"node": pa.array(np.repeat(some.column(0).to_numpy(zero_copy_only=False), len(masks))), "place": pa.array(spots.ravel())})
+
+    return paired, crowded.mapInArrow(places, "node bigint, place bigint")
+
+
+def _starred(spots: DataFrame) -> DataFrame:
+    """``place, node, low``: each node of a place with others, and the place's first."""
+    meet = spots.groupBy("place").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1")
+    return spots.join(meet, "place").where("node <> low").select("place", "node", "low")
+
+
+def _links(fps: DataFrame, distance: int, most_in_bucket: int) -> DataFrame:
+    """``a, b``: links between different fingerprints (column ``fp``, distinct) that join the same components as all links do."""
+    paired, spots = _met(fps.select(F.col("fp").alias("node"), "fp"), distance, most_in_bucket)
+    return paired.unionByName(_starred(spots).select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
+
+
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """The sorted distinct XXH64 hashes of the windows of ``width`` words (fewer words: all of them, none: the empty text)."""
+    from xxhash import xxh64_intdigest as digest
+
+    found = text.lower().split()
+    n = max(1, len(found) - width + 1)
+    return np.unique(np.fromiter((digest(b" ".join(found[i : i + width]), SEED) for i in range(n)), np.uint64, n))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` of texts (``node, text``) whose sets of shingles have that Jaccard similarity."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                yield pa.RecordBatch.from_pydict({"node": some.column(0), "s": pa.array([shingles(t.as_py(), width).tobytes() for t in some.column(1)], pa.binary())})
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                s, t = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = np.intersect1d(s, t, assume_unique=True).size
+                keep.append(100 * both >= percent * (len(s) + len(t) - both))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    spots = crowded.mapInArrow(places, "fp bigint, place bigint")
-    meet = spots.groupBy("place").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1")
-    met = spots.join(meet, "place").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
-    return paired.unionByName(met)
+    known = cut(texts.join(asked, "node", "left_semi").mapInArrow(sets, "node bigint, s binary"))
+    return cut(pairs.join(known.toDF("a", "x"), "a").join(known.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint"))
+
+
+def similar_links(texts: DataFrame, distance: int = 4, width: int = 5, percent: int = 80, most_in_bucket: int = 16) -> DataFrame:
+    """``a, b``: links between texts (``node``, distinct, and ``text`` as binary) whose fingerprints are within the distance and whose shingles are similar enough, or that join the same components as all such links do.
+
+    In a meeting place every text is held against the first; only those unlike it are held against the others.
+    """
+    schema = "node bigint, fp bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"node": batch.column(0), "fp": pa.array([fingerprint(t.as_py(), width) for t in batch.column(1)], pa.int64())})
+
+    paired, spots = _met(cut(texts.select("node", "text").mapInArrow(run, schema)), distance, most_in_bucket)
+    stars = cut(_starred(spots))
+    first = _verified(cut(paired.unionByName(stars.select(F.col("node").alias("a"), F.col("low").alias("b"))).distinct()), texts, width, percent)
+    unlike = stars.join(first, (stars["node"] == first["a"]) & (stars["low"] == first["b"]), "left_anti").select("place", F.col("node").alias("a"))
+    others = stars.select("place", F.col("node").alias("b"))
+    more = unlike.join(others, "place").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return first.unionByName(_verified(cut(more.join(first, ["a", "b"], "left_anti")), texts, width, percent))
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, width: int = 4, most_in_bucket: int = 64) -> DataFrame:
@@ -137,5 +202,23 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return own.join(of_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component: that with the smallest id, a null id being the last.
+
+    Linked are texts whose fingerprints are within ``distance`` bits and whose shingles of ``width`` words have a
+    Jaccard similarity of ``percent`` or more. A document is an id with a text (told by its 64-bit hash): of rows
+    with the same id, null or not, and different texts each is a document of its own, and repeats of a document's row
+    are dropped. Null text counts as empty; texts without words are copies of each other. Other columns are never read.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.withColumn("__h", F.xxhash64(text))
+    texts = docs.select(F.xxhash64(text).alias("node"), text.cast("binary").alias("text")).dropDuplicates(["node"])
+    roots = connected_components(similar_links(texts, distance, width, percent))
+    rows = keyed.select(F.col(id_col).alias("__kept"), F.col("__h").alias("__of")).distinct()
+    rows = rows.join(roots, rows["__of"] == roots["node"], "left").withColumn("root", F.coalesce("root", "__of"))
+    keep = rows.groupBy("root").agg(F.min(F.struct(F.col("__kept").isNull().alias("last"), "__kept", "__of")).alias("k")).select("k.__kept", "k.__of")
+    return keyed.join(keep, keyed[id_col].eqNullSafe(keep["__kept"]) & (keyed["__h"] == keep["__of"]), "left_semi").dropDuplicates([id_col, "__h"]).drop("__h")
+
+
 def op2_query(spark, sf_dir: str) -> DataFrame:
     return simhash_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -10,7 +10,7 @@ from verdigris.operators import evidence as V
 from verdigris.operators import quotes as Q
 from verdigris.plans.queries import ORACLE_SQL, QUERIES
 from verdigris.sources.encodings import detect, detect_encodings
-from verdigris.sources.html import Blocks
+from verdigris.sources.html import blocks_of, html_blocks
 from verdigris.sources.jsonl import append_new, read_lenient
 from verdigris.streaming import folds
 
@@ -30,16 +30,15 @@ def test_quotes_are_found_alike_by_scan_and_by_gram(spark):
     assert Q.quote_hits(quotes.where("item_id > 3"), paras).count() == 0
 
 
-def test_html_blocks():
-    def blocks(html):
-        p = Blocks()
-        p.feed(html)
-        p.close()
-        return p.blocks()
-
-    assert blocks("<p>a<p>b<br>c<script>var t='</p>'</script>d</p>x") == [("p", "a"), ("p", "b\nc d".replace(" d", "d"))]
-    assert blocks("just <b>text</b>") == [("body", "just text")]
-    assert blocks("<ul><li>one<li>two</ul><head><p>no</p></head>") == [("li", "one"), ("li", "two")]
+def test_html_blocks(spark):
+    """One case for each rule of a block."""
+    assert blocks_of("<p>a<p>b<br>c<script>var t='</p>'</script>d</p>x") == [("p", "a"), ("p", "b\ncd")]
+    assert blocks_of("just <b>text</b>\n and\tmore") == [("p", "just text\nand more")]
+    assert blocks_of("<ul><li>one<li>two</ul><head><p>no</p></head>") == [("li", "one"), ("li", "two")]
+    assert blocks_of("<p>a</li>b</p><svg><p>x</p></svg>") == [("p", "ab")] and blocks_of("<p> </p>all &amp; one") == [("p", "all & one")]
+    assert blocks_of("<svg><svg></svg><p>in</p></svg><p>out</p></script><p>on</p>") == [("p", "out"), ("p", "on")] and blocks_of("") == []
+    pages = spark.createDataFrame([(1, "<h1>T</h1><p>x"), (2, None), (None, "y")], "page_id int, html string")
+    assert sorted(map(tuple, html_blocks(pages).collect()), key=str) == [(1, 0, "h1", "T"), (1, 1, "p", "x"), (None, 0, "p", "y")]
 
 
 def test_scalar_functions(spark):
@@ -48,8 +47,10 @@ def test_scalar_functions(spark):
         X.isbn_digits(F.array(F.lit("x"), F.lit("978-3-16-148410-0"))).alias("isbn"), X.range_start(F.lit("12-30")).alias("start"), X.range_start(F.lit("")).alias("none"),
         X.strict_timestamp(F.lit("2024-01-01T00:00:00")).alias("naive"), X.is_heading(F.lit("Chapter 12")).alias("heading"), X.is_heading(F.lit("Chapter 12 ends.")).alias("sentence"),
         X.title_forms(F.lit("One: Two")).alias("forms"), X.authors_match(F.lit("A. Bee"), F.array(F.lit(""), F.lit("abee"))).alias("author"), X.contains_secret(F.lit("api_key = abcdef123")).alias("secret"),
+        X.normalize_search(F.lit("Ｆｕｌｌ　ｗｉｄｔｈ ﬁne…")).alias("wide"), X.normalize_key(F.lit("Dune: Ｍ-ß_1")).alias("key"), X.range_start(F.lit(" 7 - 9 ")).alias("blanks"), X.is_heading(F.lit("introduction")).alias("intro"),
     ).first()
     assert row["clean"] == "a b\nc" and row["search"] == "strassex" and len(row["cut"]) == 180 and row["isbn"] == "9783161484100"
+    assert row["wide"] == "fullwidthfine..." and row["key"] == "dunemss1" and row["blanks"] == 7 and not row["intro"]
     assert row["start"] == 12 and row["none"] is None and row["naive"] is None and row["heading"] and not row["sentence"]
     assert sorted(row["forms"]) == ["one", "onetwo"] and row["author"] and row["secret"]
 
@@ -64,6 +65,8 @@ def test_folds_count_illegal_steps(spark):
     rows = [("x", 1, "confirm"), ("x", 2, "confirm"), ("x", 3, "retire"), ("y", 1, "retire")]
     out = {r["k"]: (r["state"], r["applied"], r["illegal"]) for r in E.fold(spark.createDataFrame(rows, "k string, seq int, d string"), "k", "seq", "d", E.PROFILE_STEPS).collect()}
     assert out == {"x": ("retired", 2, 1), "y": ("candidate", 0, 1)}
+    many = spark.createDataFrame([("k", i, ("confirm", "revise", "reject", "retire")[i * i % 3 % 4]) for i in range(100)], "k string, seq int, d string")
+    assert len({tuple(E.fold(many, "k", "seq", "d", E.BELIEF_STEPS, block=b).first()) for b in (1, 7, 1000)}) == 1
 
 
 def test_json_lines(spark, tmp_path):
@@ -111,13 +114,13 @@ def test_streams_agree_with_tables(spark, tmp_path):
 
 
 def test_chapters_are_cut_at_headings_and_limits(spark):
-    text = "before\n\nChapter 1\n" + "a" * 25 + "\nx\ny\nz\nPreface\nlast"
+    text = "before\n\nChapter 1\n" + "a" * 25 + "\nx\ny\nz\n序言\nlast"
     docs = spark.createDataFrame([(1, text), (2, "one\rtwo"), (3, None), (4, " \n ")], "doc_id int, text string")
     found = [tuple(r)[:6] for r in H.segment_chapters(docs, 30, 3, 10).orderBy("doc_id", "chapter", "paragraph_index").collect()]
     assert [r[1:] for r in found if r[0] == 1] == [
         (1, 1, H.PREFACE, 1, "before"), (3, 2, "Chapter 1", 1, "Chapter 1"), (4, 2, "Chapter 1", 2, "a" * 10), (4, 2, "Chapter 1", 3, "a" * 10),
         (4, 3, H.CONTINUED.format("Chapter 1", 2), 1, "a" * 5), (5, 3, H.CONTINUED.format("Chapter 1", 2), 2, "x"), (6, 3, H.CONTINUED.format("Chapter 1", 2), 3, "y"),
-        (7, 4, H.CONTINUED.format("Chapter 1", 3), 1, "z"), (8, 5, "Preface", 1, "Preface"), (9, 5, "Preface", 2, "last"),
+        (7, 4, H.CONTINUED.format("Chapter 1", 3), 1, "z"), (8, 5, "序言", 1, "序言"), (9, 5, "序言", 2, "last"),
     ]
     assert [r[1:] for r in found if r[0] != 1] == [(1, 1, H.UNTITLED, 1, "one"), (2, 1, H.UNTITLED, 2, "two")]
     text_back = {r["doc_id"]: r["t"] for r in H.segment_chapters(spark.read.parquet(f"{SF}/documents.parquet")).groupBy("doc_id").agg(F.sum(F.length("text")).alias("t")).collect()}

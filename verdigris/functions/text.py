@@ -2,16 +2,48 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: What counts as a secret.
+#: What counts as a secret, as sensitive, as talk about the process, and as a plan for the next chapter.
 SECRET_PATTERNS = (
-    r"(?i)authorization\s*:\s*\S+", r"(?i)\bbearer\s+[a-z0-9._~+/=-]{12,}", r"(?i)\b(api[_-]?key|secret|token|password)\s*[=:]\s*\S{6,}",
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"\bsk-[A-Za-z0-9_-]{16,}", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}",
+    r"(?i)\bauthorization\s*:\s*\S+",
+    r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]{8,}",
+    r"(?i)\b(?:api[_ -]?key|access[_ -]?token|refresh[_ -]?token|client[_ -]?secret|password|passwd|cookie|private[_ -]?key|weread_api_key)\b\s*[:=]\s*\S+",
+    r"(?i)-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
+    r"\bsk-[A-Za-z0-9_-]{12,}\b",
+    r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b",
+)
+SENSITIVE = r"(?i)(api[ _-]?key|access[ _-]?token|authorization|credential|secret|password|密钥|密码|令牌)"
+PROCESS_TALK = r"(?i)(验收|体验可用|节点\s*\d|跳过.{0,6}讨论|流程.{0,8}通过|skill|同步.{0,8}成功|导入.{0,8}成功)"
+NEXT_READING = (r"重读", r"(?i)(?:阅读|读)(?:.{0,16})(?:章节|第.{1,8}[章节回部篇]|ch-\d+)", r"(?i)(?:章节|第.{1,8}[章节回部篇]|ch-\d+)(?:.{0,16})(?:阅读|读)")
+#: The forms of a chapter heading, and what no heading ends with.
+NUMERALS = "0-9０-９零〇一二三四五六七八九十百千万两壹贰叁肆伍陆柒捌玖拾佰仟"
+HEADINGS = (
+    rf"第\s*[{NUMERALS}]+\s*[章节回卷部篇集幕](?:\s*[：:、.．\-—]?\s*.{{0,60}})?",
+    rf"[卷部篇集]\s*[{NUMERALS}]+(?:\s*[：:、.．\-—]?\s*.{{0,60}})?",
+    r"(序章|序言|前言|楔子|引子|引言|后记|尾声|终章|结语|跋|附录(?:\s*[一二三四五六七八九十0-9]+)?)(?:\s*[：:、.．\-—]?\s*.{0,50})?",
+    r"(chapter|part|book)\s+[0-9ivxlcdm]+(?:\s*[：:._\-—]?\s*.{0,60})?",
+)
+SENTENCE_ENDS = "[。！？；.!?;]$"
+#: Texts of these characters alone are in NFKC: ASCII, accented Latin letters, Greek and Cyrillic ones, general dashes and quotes, CJK ideographs and their own punctuation.
+STABLE = r"^[\x00-\x7E¡-§©«¬®°±¶·»¿-įĴ-ľŁ-ňŊ-žΑ-Ωα-ρσ-ωА-я–—‘-”、。《-】一-龥]*$"
+#: Characters that NFKC replaces by one other, and some of those that it replaces by several.
+SINGLE = {chr(c): n for c in range(0x80, 0xFFFE) if not 0xD800 <= c < 0xE000 and len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and n != chr(c)}
+SEVERAL = {c: unicodedata.normalize("NFKC", c) for c in "…‥ﬀﬁﬂﬃﬄﬅﬆ™½¼¾⅓⅔№℃℉㎏㎡㎝㎜㎞Ⅱ Ⅲ Ⅳ Ⅵ Ⅶ Ⅷ Ⅸ ⅱⅲⅳⅵⅶⅷⅸ①②③⑩⑪⑫".replace(" ", "") if len(unicodedata.normalize("NFKC", c)) > 1}
+#: What a book without ratings says, and how raters are counted.
+NO_RATING, RATERS = "暂无评分", "（%s 人评分）"
+#: Claims of whole coverage, and what is said in their place.
+SCOPE_CLAIMS = (
+    ("逐字读完", "未逐字覆盖"), ("逐章读完", "未获得章节级完整覆盖"), ("完整覆盖所有内容", "仅覆盖已准备的相关证据"),
+    ("全部章节覆盖", "仅覆盖已准备的相关证据"), ("全书100%", "不代表全书覆盖"), ("全书 100%", "不代表全书覆盖"),
 )
+SCOPES = ("discussion", "read-for-me", "recommendation")
 LOCATOR = r"^[0-9a-f]{64}#ch-[0-9]{3}:p-[0-9]{4}$"
 
 
@@ -25,9 +57,21 @@ def clean_display(x: Column) -> Column:
     return F.array_join(F.filter(lines, lambda line: line != ""), "\n")
 
 
+def nfkc(x: Column) -> Column:
+    """NFKC but for rare ligatures and squared letters, and for marks that stand apart from their letters, in the JVM; ``nfkc_udf`` knows all of it."""
+    out = F.translate(x, "".join(SINGLE), "".join(SINGLE.values()))
+    for c, several in SEVERAL.items():
+        out = F.replace(out, F.lit(c), F.lit(several))
+    return F.when(F.rlike(x, F.lit(STABLE)), x).otherwise(out)
+
+
+def _folded(x: Column) -> Column:
+    return F.replace(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+
+
 def normalize_search(x: Column) -> Column:
-    """Lower-cased, sharp s as two letters, without white space: for texts that are in NFKC already."""
-    return F.regexp_replace(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")), "\\s+", "")
+    """NFKC, case folding, no white space."""
+    return F.regexp_replace(_folded(nfkc(x)), "(?U)\\s+", "")
 
 
 def strip_punctuation(x: Column) -> Column:
@@ -35,8 +79,8 @@ def strip_punctuation(x: Column) -> Column:
 
 
 def normalize_key(x: Column) -> Column:
-    """Lower-cased letters and digits alone."""
-    return F.regexp_replace(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")), "[^\\p{L}\\p{N}]+", "")
+    """NFKC, case folding, letters and digits alone; null as empty."""
+    return F.regexp_replace(_folded(nfkc(F.coalesce(x, F.lit("")))), "[^\\p{L}\\p{N}]+", "")
 
 
 def title_forms(title: Column) -> Column:
@@ -47,7 +91,7 @@ def title_forms(title: Column) -> Column:
 def authors_match(remote: Column, local: Column) -> Column:
     """Whether either key contains the other, for any local author; an empty name matches nothing."""
     r = normalize_key(remote)
-    return (r != "") & F.exists(F.transform(local, normalize_key), lambda a: (a != "") & (F.contains(r, a) | F.contains(a, r)))
+    return F.coalesce((r != "") & F.exists(F.transform(local, normalize_key), lambda a: (a != "") & (F.contains(r, a) | F.contains(a, r))), F.lit(False))
 
 
 def isbn_digits(identifiers: Column) -> Column:
@@ -76,10 +120,10 @@ def contains_secret(x: Column) -> Column:
 
 
 def is_heading(x: Column) -> Column:
-    """At most 100 characters, no tab, no sentence end, and the form of a chapter heading."""
-    t = F.trim(x)
-    forms = "^(第[0-9一二三四五六七八九十百千零〇两]+[章节回部篇卷].*|卷[0-9一二三四五六七八九十]+.*|(?i)(preface|foreword|introduction|prologue|epilogue|afterword|appendix|序|序言|前言|引言|后记|附录)|(?i)(chapter|part|book)\\s+([0-9]+|[ivxlcdm]+)\\b.*)$"
-    return (F.length(t) <= 100) & (t != "") & ~F.contains(x, F.lit("\t")) & ~F.rlike(t, F.lit("[.!?。！？;；,，]$")) & F.rlike(t, F.lit(forms))
+    """At most 100 characters, no tab, no sentence end, and one of the forms of a chapter heading, all in NFKC."""
+    t = F.trim(nfkc(x))
+    forms = F.rlike(t, F.lit("(?i)^(?:" + "|".join(f"(?:{p})" for p in HEADINGS) + ")$"))
+    return (F.length(t) <= 100) & (t != "") & ~F.contains(t, F.lit("\t")) & ~F.rlike(t, F.lit(SENTENCE_ENDS)) & forms
 
 
 def literal_count(x: Column, literal: str) -> Column:
@@ -87,8 +131,8 @@ def literal_count(x: Column, literal: str) -> Column:
 
 
 def range_start(x: Column) -> Column:
-    """The start of ``a-b``, else null."""
-    return F.when(F.rlike(x, F.lit("^[0-9]+-[0-9]+$")), F.regexp_extract(x, "^([0-9]+)-", 1).cast("bigint"))
+    """The start of ``a-b`` (blanks may stand around either number), else null."""
+    return F.when(F.rlike(x, F.lit("^\\s*[0-9]+\\s*-\\s*[0-9]+\\s*$")), F.regexp_extract(x, "^\\s*([0-9]+)", 1).try_cast("bigint"))
 
 
 def coverage(done: Column, total: Column) -> Column:
@@ -105,8 +149,97 @@ def strict_timestamp(x: Column) -> Column:
     return F.when(F.rlike(x, F.lit("(Z|[+-]\\d\\d:\\d\\d)$")), F.try_to_timestamp(x))
 
 
-def short_id(prefix: str, *parts: Column) -> Column:
-    return F.concat(F.lit(f"{prefix}-"), F.substring(F.sha2(F.concat_ws("\x00", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), 1, 16))
+def short_id(prefix: str, *parts: Column, digits: int = 16) -> Column:
+    """The prefix and the first hex digits (16 or 24) of the parts' hash."""
+    return F.concat(F.lit(f"{prefix}-"), F.substring(F.sha2(F.concat_ws("\x00", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), 1, digits))
+
+
+def utc_text(ts: Column) -> Column:
+    """UTC to the second, with ``Z`` (the session's zone is taken to be UTC)."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def event_time(create_time: Column, synced_at: Column) -> Column:
+    """Epoch seconds where they are above zero, else the time of the sync."""
+    return F.when(create_time > 0, F.timestamp_seconds(create_time)).otherwise(strict_timestamp(synced_at))
+
+
+def week_of(ts: Column, minutes: int = 0) -> Column:
+    """The ISO week ``YYYY-Www`` in a fixed offset of so many minutes."""
+    local = F.timestamp_add("MINUTE", F.lit(minutes), ts)
+    return F.format_string("%d-W%02d", F.extract(F.lit("YEAROFWEEK"), local).cast("int"), F.weekofyear(local))
+
+
+def safe_int(x: Column) -> Column:
+    """A whole number, cut towards zero; 0 for what is none."""
+    return F.coalesce(x.try_cast("bigint"), F.lit(0).cast("bigint"))
+
+
+def is_one(x: Column) -> Column:
+    """The strict kind of truth: true or one."""
+    return F.coalesce(F.lower(x.cast("string")).isin("true", "1"), F.lit(False))
+
+
+def is_truthy(x: Column) -> Column:
+    """The loose kind: any number but zero, true or yes."""
+    text = F.lower(F.trim(x.cast("string")))
+    return F.coalesce(text.isin("true", "yes", "1"), F.lit(False)) | F.coalesce(text.try_cast("double") != 0, F.lit(False))
+
+
+def rating_text(rating: Column, count: Column) -> Column:
+    """A rating out of 100 to one decimal without a trailing zero; of 100 to 1000 it is a tenth."""
+    number = rating.try_cast("double")
+    number = F.when(number > 100, number / 10).otherwise(number)
+    shown = F.regexp_replace(F.regexp_replace(F.format_string("%.1f", number), "0+$", ""), "\\.$", "")
+    return F.when(number.isNull(), NO_RATING).otherwise(F.concat(shown, F.lit("/100"), F.when(count.isNotNull(), F.format_string(RATERS, count)).otherwise(F.lit(""))))
+
+
+def scope_limits(values: Column) -> Column:
+    """Claims of whole coverage are replaced by what can be said; each limit once, in order."""
+    def one(v: Column) -> Column:
+        for claim, limit in SCOPE_CLAIMS:
+            v = F.replace(v, F.lit(claim), F.lit(limit))
+        return v
+
+    return F.array_distinct(F.transform(values, one))
+
+
+def claims_too_much(value: Column) -> Column:
+    """Whether any string inside a struct, array or map claims whole coverage."""
+    text = F.to_json(value)
+    out = F.lit(False)
+    for claim, _ in SCOPE_CLAIMS:
+        out = out | F.contains(text, F.lit(claim))
+    return out
+
+
+def file_component(x: Column) -> Column:
+    """A name that can be part of a path: illegal characters become one ``-``, runs of blanks one space, at most 80 characters."""
+    out = F.regexp_replace(nfkc(x), r'[<>:"/\\|?*\x00-\x1F]+', "-")
+    return F.substring(F.regexp_replace(F.regexp_replace(out, "\\s+", " "), "^[ .-]+|[ .-]+$", ""), 1, 80)
+
+
+def locators_in(x: Column) -> Column:
+    """All locators that stand in a text, in order."""
+    return F.regexp_extract_all(x, F.lit("[0-9a-f]{64}#ch-[0-9]{3}:p-[0-9]{4}"), F.lit(0))
+
+
+def canonical_scopes(scopes: Column) -> Column:
+    """The known scopes among these, each once, in their own order."""
+    return F.filter(F.array(*map(F.lit, SCOPES)), lambda s: F.array_contains(scopes, s))
+
+
+def is_next_reading(x: Column) -> Column:
+    return F.rlike(x, F.lit(NEXT_READING[0])) | F.rlike(x, F.lit(NEXT_READING[1])) | F.rlike(x, F.lit(NEXT_READING[2]))
+
+
+def markdown_sections(x: Column) -> Column:
+    """A map from each ``##`` title to its bullets, or to its body where it has none."""
+    parts = F.slice(F.split(F.concat(F.lit("\n"), x), "\n##[ \t]+"), 2, 1_000_000)
+    bullets = lambda body: F.transform(F.filter(F.split(body, "\n"), lambda line: F.startswith(line, F.lit("- "))), lambda line: F.trim(F.substr(line, F.lit(3))))
+    body = lambda part: F.trim(F.regexp_replace(F.when(F.contains(part, F.lit("\n")), F.substr(part, F.instr(part, "\n") + 1)).otherwise(""), "^\n+|\n+$", ""))
+    values = lambda b: F.when(F.size(bullets(b)) > 0, bullets(b)).when(b != "", F.array(b)).otherwise(F.expr("cast(array() as array<string>)"))
+    return F.map_from_entries(F.transform(parts, lambda part: F.struct(F.trim(F.substring_index(part, "\n", 1)).alias("title"), values(body(part)).alias("items"))))
 
 
 def topic_score(topic: Column, text: Column) -> Column:
@@ -120,10 +253,25 @@ def usable_text(x: Column) -> Column:
     return ~F.rlike(x, F.lit("[<>]")) & (F.trim(x) != "") & F.rlike(x, F.lit("[\\p{L}\\p{N}]"))
 
 
+def _nfkc(s: str) -> str:
+    return s if s.isascii() else unicodedata.normalize("NFKC", s)
+
+
+@F.pandas_udf(T.StringType())
+def nfkc_udf(x: pd.Series) -> pd.Series:
+    return x.map(lambda s: None if s is None else _nfkc(s))
+
+
 @F.pandas_udf(T.StringType())
 def norm_search_udf(x: pd.Series) -> pd.Series:
     """NFKC, case folding, no white space."""
-    return x.map(lambda s: None if s is None else "".join(s.casefold().split()) if s.isascii() else "".join(__import__("unicodedata").normalize("NFKC", s).casefold().split()))
+    return x.map(lambda s: None if s is None else "".join(_nfkc(s).casefold().split()))
+
+
+@F.pandas_udf(T.StringType())
+def norm_key_udf(x: pd.Series) -> pd.Series:
+    """NFKC, case folding, letters and digits alone."""
+    return x.map(lambda s: None if s is None else re.sub(r"[\W_]+", "", _nfkc(s).casefold()))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -149,23 +297,23 @@ def canonical_json_udf(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else json.dumps(json.loads(s), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def split_long_udf(x: pd.Series) -> pd.Series:
-    """Pieces of at most 8000 characters, cut behind the last sentence mark in the last two fifths."""
+def split_long(s: str, limit: int = 8000) -> list[str]:
+    """Pieces of at most ``limit`` characters, cut behind the last sentence mark in the last two fifths, else hard."""
+    out, rest = [], s
+    while len(rest) > limit:
+        ends = [i + 1 for i in range(int(limit * 0.6), limit) if rest[i] in ".!?。！？；;"]
+        at = ends[-1] if ends else limit
+        out.append(rest[:at].strip())
+        rest = rest[at:]
+    return [p for p in [*out, rest.strip()] if p]
 
-    def one(s: str | None, limit: int = 8000) -> list[str]:
-        out, rest = [], s or ""
-        while len(rest) > limit:
-            ends = [i + 1 for i in range(int(limit * 0.6), limit) if rest[i] in ".!?。！？；;"]
-            at = ends[-1] if ends else limit
-            out.append(rest[:at].strip())
-            rest = rest[at:]
-        return [p for p in [*out, rest.strip()] if p]
 
-    return x.map(one)
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def split_long_udf(x: pd.Series) -> pd.Series:
+    return x.map(lambda s: split_long(s or ""))
 
 
 def register(spark: SparkSession) -> None:
     """Makes the vectorised functions callable from SQL."""
-    for name, f in (("norm_search", norm_search_udf), ("partial_similarity", partial_similarity_udf), ("canonical_json", canonical_json_udf), ("split_long", split_long_udf)):
+    for name, f in (("norm_search", norm_search_udf), ("norm_key", norm_key_udf), ("partial_similarity", partial_similarity_udf), ("canonical_json", canonical_json_udf), ("split_long", split_long_udf)):
         spark.udf.register(name, f)

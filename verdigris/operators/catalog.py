@@ -41,7 +41,7 @@ def rank_candidates(merged: DataFrame, k: int = 50) -> DataFrame:
 
 def eligibility(profile: DataFrame, route: str) -> DataFrame:
     """Why a source is left out (the first reason that holds), and whether it is on by default or by choice."""
-    reason = F.when(F.col("state") != "confirmed", "profile-status-not-active").when(F.col("route") != route, "profile-scope-mismatch").when(F.col("expired"), "profile-expired")
+    reason = F.when(~F.col("state").isin("confirmed", "revised"), "profile-status-not-active").when(F.col("route") != route, "profile-scope-mismatch").when(F.col("expired"), "profile-expired")
     return profile.select("source_id", reason.alias("exclusion_basis"), (reason.isNull() & ~F.col("sensitive")).alias("selected_by_default"), (reason.isNull() & F.col("sensitive")).alias("requires_explicit_selection"))
 
 
@@ -51,9 +51,9 @@ def citation_integrity(citations: DataFrame, allowed: DataFrame) -> DataFrame:
 
 
 def user_statements(turns: DataFrame) -> DataFrame:
-    """Lines of user messages with their source id; blank lines, secrets and process talk are left out."""
+    """Lines of user messages with their source id; blank, sensitive and process lines are left out."""
     lines = turns.where("role = 'user'").select("conv_id", "turn", F.posexplode(F.split("text", "[\r\n]+")).alias("pos", "line"))
-    kept = lines.where((F.trim("line") != "") & ~X.contains_secret(F.col("line")) & ~F.rlike("line", F.lit("(?i)\\b(system prompt|tool call|context window)\\b")))
+    kept = lines.where((F.trim("line") != "") & ~F.rlike("line", F.lit(X.SENSITIVE)) & ~F.rlike("line", F.lit(X.PROCESS_TALK)))
     return kept.select(F.concat(F.lit("session:"), "conv_id", F.lit("-"), "turn", F.lit(":"), F.col("pos") + 1).alias("source_id"), F.trim("line").alias("content"))
 
 

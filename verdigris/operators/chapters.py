@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.text import split_long
 
 #: What chapters without a heading of their own are called, and the mark of a part that continues one.
 UNTITLED, PREFACE, CONTINUED = "正文", "前置内容", "{}（续 {}）"
@@ -31,7 +32,7 @@ def segment_chapters(docs: DataFrame, max_chars: int = 80_000, max_paragraphs: i
         headed = any(x["heading"] for x in found)
         name, part, chapter, n, chars = PREFACE if headed else UNTITLED, 1, 1, 0, 0
         for x in found:
-            pieces = [x["text"][i : i + max_piece] for i in range(0, len(x["text"]), max_piece)]
+            pieces = split_long(x["text"], max_piece)
             for k, piece in enumerate(pieces):
                 opens = k == 0 and x["heading"]
                 if n and (opens or n >= max_paragraphs or chars + len(piece) > max_chars):

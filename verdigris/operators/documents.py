@@ -9,12 +9,14 @@ from ..functions import text as X
 
 
 def paragraphs(docs: DataFrame, per_chapter: int = 20) -> DataFrame:
-    """Non-blank lines with their line number, paragraph index and locator; chapters are runs of paragraphs."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("pos", "line"))
-    lines = lines.select("doc_id", (F.col("pos") + 1).alias("line_no"), F.trim(F.regexp_replace("line", "[\\t\\f\\x0B ]+", " ")).alias("text")).where("text <> ''")
-    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))
-    out = lines.withColumn("n", index - 1).select("doc_id", "line_no", (F.floor(F.col("n") / per_chapter) + 1).cast("int").alias("chapter"), (F.col("n") % per_chapter + 1).alias("paragraph_index"), "text")
-    return out.select("*", X.locator(X.sha256(F.col("doc_id").cast("string")), F.col("chapter"), F.col("paragraph_index")).alias("locator"))
+    """Non-blank lines with their line number, paragraph index and locator; chapters are runs of paragraphs.
+
+    A document's lines are numbered inside its row, so nothing is shuffled. Null texts have none.
+    """
+    lines = F.transform(F.split("text", "\r\n|\r|\n"), lambda x, i: F.struct((i + 1).alias("line_no"), F.trim(F.regexp_replace(x, "[\\t\\f\\x0B ]+", " ")).alias("text")))
+    rows = docs.select("doc_id", X.sha256(F.col("doc_id").cast("string")).alias("book"), F.posexplode(F.filter(lines, lambda x: x["text"] != "")).alias("n", "x"))
+    chapter, index = (F.floor(F.col("n") / per_chapter) + 1).cast("int"), (F.col("n") % per_chapter + 1).cast("int")
+    return rows.select("doc_id", "x.line_no", chapter.alias("chapter"), index.alias("paragraph_index"), "x.text", X.locator(F.col("book"), chapter, index).alias("locator"))
 
 
 def chapter_rollup(paras: DataFrame) -> DataFrame:
@@ -50,12 +52,12 @@ def sample_positions(paras: DataFrame) -> DataFrame:
 
 
 def neighbour_context(paras: DataFrame, before: int = 3, after: int = 3) -> DataFrame:
-    """Paragraphs around each paragraph of the same chapter, itself left out."""
-    around = F.explode(F.array(*[F.lit(d) for d in range(-before, after + 1) if d])).alias("offset")
-    spread = paras.select("doc_id", "chapter", F.col("locator").alias("neighbour"), "paragraph_index", around)
-    spread = spread.select("doc_id", "chapter", "neighbour", "offset", (F.col("paragraph_index") - F.col("offset")).alias("paragraph_index"))
-    focus = paras.select("doc_id", "chapter", "paragraph_index", "locator")
-    return focus.join(spread, ["doc_id", "chapter", "paragraph_index"]).select("locator", "offset", "neighbour")
+    """Paragraphs around each paragraph of the same chapter, itself left out: one window over locators, no join."""
+    order = _in_chapter().orderBy("paragraph_index")
+    steps = [d for d in range(-before, after + 1) if d]
+    rows = paras.select("doc_id", "chapter", "paragraph_index", "locator").withColumns({f"__{d}": F.lead("locator", d).over(order) if d > 0 else F.lag("locator", -d).over(order) for d in steps})
+    near = F.array(*[F.struct(F.lit(d).alias("offset"), F.col(f"__{d}").alias("neighbour")) for d in steps])
+    return rows.select("locator", F.explode(F.filter(near, lambda x: x["neighbour"].isNotNull())).alias("x")).select("locator", "x.offset", "x.neighbour")
 
 
 def checkpoints(paras: DataFrame) -> DataFrame:

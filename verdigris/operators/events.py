@@ -24,17 +24,31 @@ def latest(events: DataFrame, key: str, seq: str) -> DataFrame:
     return events.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(seq)).alias("x")).select(key, "x.*")
 
 
-def fold(events: DataFrame, key: str, seq: str, decision: str, steps: tuple[tuple[str, str, str], ...], start: str = "candidate") -> DataFrame:
-    """State after all decisions of a key in order; illegal ones leave it and are counted."""
+def fold(events: DataFrame, key: str, seq: str, decision: str, steps: tuple[tuple[str, str, str], ...], start: str = "candidate", block: int = 1024) -> DataFrame:
+    """State after all decisions of a key in order; illegal ones leave it and are counted.
+
+    Decisions are folded in blocks of ``block`` sequence numbers, each for every state it could begin in; the blocks'
+    outcomes, a few numbers each, are then composed in order. So a key with most of all events is many tasks' work.
+    """
+    names = sorted({x for s, _, t in steps for x in (s, t)} | {start})
     table = F.create_map(*[F.lit(x) for s, d, t in steps for x in (f"{s}+{d}", t)])
-    ordered = F.sort_array(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(decision).alias("d"))))
-    first = F.struct(F.lit(start).alias("state"), F.lit(0).alias("applied"), F.lit(0).alias("illegal"))
+    result = lambda state, applied, illegal: F.struct(state.alias("state"), applied.alias("applied"), illegal.alias("illegal"))
 
     def step(acc, e):
         to = F.try_element_at(table, F.concat(acc["state"], F.lit("+"), e["d"]))
-        return F.struct(F.coalesce(to, acc["state"]).alias("state"), (acc["applied"] + F.when(to.isNotNull(), 1).otherwise(0)).alias("applied"), (acc["illegal"] + F.when(to.isNull(), 1).otherwise(0)).alias("illegal"))
+        return result(F.coalesce(to, acc["state"]), acc["applied"] + F.when(to.isNotNull(), 1).otherwise(0), acc["illegal"] + F.when(to.isNull(), 1).otherwise(0))
+
+    ordered = F.sort_array(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(decision).alias("d"))))
+    blocks = events.groupBy(key, F.floor(F.col(seq) / block).alias("block")).agg(ordered.alias("e"))
+    from_each = F.array(*[F.aggregate("e", result(F.lit(n), F.lit(0), F.lit(0)), step) for n in names])
+    composed = blocks.select(key, F.struct("block", from_each.alias("to")).alias("b"))
+    known = F.array(*map(F.lit, names))
+
+    def then(acc, b):
+        to = F.get(b["to"], F.array_position(known, acc["state"]).cast("int") - 1)
+        return result(to["state"], acc["applied"] + to["applied"], acc["illegal"] + to["illegal"])
 
-    return events.groupBy(key).agg(F.aggregate(ordered, first, step).alias("x")).select(key, "x.state", "x.applied", "x.illegal")
+    return composed.groupBy(key).agg(F.aggregate(F.sort_array(F.collect_list("b")), result(F.lit(start), F.lit(0), F.lit(0)), then).alias("x")).select(key, "x.state", "x.applied", "x.illegal")
 
 
 def weekly_report(events: DataFrame, hours: int = 8) -> DataFrame:

@@ -86,9 +86,8 @@ def status_counts(matches: DataFrame) -> DataFrame:
 
 def edition_mapping(pairs: DataFrame) -> DataFrame:
     """``pair_id, mapping_status, edition_status`` of a local book (``title, authors, identifiers, confirmed``) and its remote one (``remote_title, remote_author, remote_isbn``)."""
-    title = X.normalize_search(F.coalesce("title", F.lit(""))) == X.normalize_search(F.coalesce("remote_title", F.lit("")))
-    author = X.normalize_search(F.coalesce("remote_author", F.lit("")))
-    known = F.coalesce((author != "") & F.exists("authors", lambda a: F.contains(author, X.normalize_search(a)) | F.contains(X.normalize_search(a), author)), F.lit(False))
+    title = X.normalize_key(F.col("title")) == X.normalize_key(F.col("remote_title"))
+    known = X.authors_match(F.col("remote_author"), F.col("authors"))
     rows = pairs.withColumns({"own": X.isbn_digits(F.col("identifiers")), "other": F.nullif(F.regexp_replace("remote_isbn", "\\D", ""), F.lit("")), "alike": title & known})
     both = F.col("own").isNotNull() & F.col("other").isNotNull()
     confirmed = F.coalesce("confirmed", F.lit(False))

@@ -1,4 +1,4 @@
-"""Where quotations stand: containment and fuzzy tiers, with explicit ambiguity. The loose tier (containment without punctuation) is missing."""
+"""Where quotations stand: containment and fuzzy tiers, with explicit ambiguity. ``matching`` puts the tiers in a row."""
 
 from __future__ import annotations
 
@@ -94,18 +94,37 @@ def _trigrams(text: str) -> np.ndarray:
     return (a[:-2] << 42) | (a[1:-1] << 21) | a[2:]
 
 
+def _letters(text: str) -> dict[str, int]:
+    """For each character the places it has in the text, as bits."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def _common(letters: dict[str, int], size: int, text: str) -> int:
+    """The length of the longest common subsequence: one addition of long numbers a character."""
+    whole = free = (1 << size) - 1
+    for c in text:
+        found = free & letters.get(c, 0)
+        free = (free + found | free - found) & whole
+    return size - free.bit_count()
+
+
 def _similar(p: DataFrame, kind, quotes: list[tuple], admit: float) -> DataFrame:
     """``item_id, locator, raw``: all pairs whose best window has a ratio of ``admit`` or more.
 
     A ratio of r over s characters (quote and window) has r*s/2 matched ones in at most (1-r)*s+1 blocks, since
     an unmatched character stands between two blocks. A block of n has n-2 windows of three, so either side has
-    at least (2.5*r-2)*s-2 places whose window of three is in the other. Fewer cannot reach r.
+    at least (2.5*r-2)*s-2 places whose window of three is in the other. Fewer cannot reach r. What is matched is a
+    common subsequence too, so neither can a text, or a window, whose longest one is shorter than r*s/2.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = [_trigrams(q) for _, q in quotes]
         own = [np.unique(g) for g in grams]
         lengths = np.array([len(q) for _, q in quotes], np.int64)
+        letters = [_letters(q) for _, q in quotes]
         flat, owner = np.concatenate([*grams, np.zeros(0, np.int64)]), np.repeat(np.arange(len(quotes)), [len(g) for g in grams])
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
@@ -122,10 +141,13 @@ def _similar(p: DataFrame, kind, quotes: list[tuple], admit: float) -> DataFrame
                 least = np.ceil((2.5 * admit - 2) * (lengths + widths) - 2 - 1e-6)
                 for k in np.flatnonzero((shared >= least) & (2 * np.minimum(lengths, widths) >= (admit - 1e-9) * (lengths + widths))):
                     width, q = int(widths[k]), quotes[k][1]
+                    need = (admit - 1e-9) * (len(q) + width) / 2
+                    if _common(letters[k], len(q), t) < need:
+                        continue
                     starts = np.array(sorted({*range(0, len(t) - width + 1, max(1, len(q) // 6)), len(t) - width}))
                     upto = np.r_[0, np.cumsum(np.isin(held, own[k]))]
                     can = starts[upto[starts + max(0, width - 2)] - upto[starts] >= least[k]] if len(held) else starts
-                    raw = max((SequenceMatcher(None, q, t[s : s + width]).ratio() for s in can.tolist()), default=0.0)
+                    raw = max((SequenceMatcher(None, q, t[s : s + width]).ratio() for s in can.tolist() if _common(letters[k], len(q), t[s : s + width]) >= need), default=0.0)
                     if raw >= admit:
                         items.append(quotes[k][0])
                         places.append(i)

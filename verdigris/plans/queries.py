@@ -15,6 +15,7 @@ from ..operators import events as E
 from ..operators import evidence as V
 from ..operators import quotes as Q
 from ..sources import encodings, html
+from . import books, records
 
 LITERALS = ("Licensed under the Apache License, Version 2.0.", "###")
 #: What a week is expected to have; nothing sends refunds.
@@ -135,9 +136,19 @@ def _chapters_missing(s: SparkSession, d: str) -> DataFrame:
     return V.missing_results(paras, paras.join(_labelled(s, d), "doc_id", "left_semi"), ["doc_id", "chapter"])
 
 
+#: A text that is told as GB 18030 by what it says.
+CHINESE = "第一章。这是中文的正文，在书和节里。" * 20
+
+
 def _encodings(s: SparkSession, d: str) -> DataFrame:
-    files = _docs(s, d).select("doc_id", F.col("text").cast("binary").alias("content"))
-    return encodings.detect_encodings(files, "doc_id").select("doc_id", "status", "encoding", "confidence", "reason")
+    """Documents stored in turn as UTF-8, UTF-8 with a mark, UTF-16, GB 18030 (a Chinese text), with a NUL, and as no text at all."""
+    kind, text = F.col("doc_id") % 6, F.col("text")
+    utf8 = text.cast("binary")
+    content = (
+        F.when(kind == 0, utf8).when(kind == 1, F.concat(F.unhex(F.lit("EFBBBF")), utf8)).when(kind == 2, F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE"))).when(kind == 3, F.lit(bytearray(CHINESE.encode("gb18030"))))
+        .when(kind == 4, F.concat(utf8, F.unhex(F.lit("00")))).otherwise(F.unhex(F.lit("81")))
+    )
+    return encodings.detect_encodings(_docs(s, d).select("doc_id", content.alias("content")), "doc_id").select("doc_id", "status", "encoding", "confidence", "reason")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -196,6 +207,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "deterministic_ids": lambda s, d: _table(s, d, "conversations").select("conv_id", "turn", X.short_id("candidate", F.col("conv_id"), F.col("turn"), F.col("text")).alias("candidate_id")),
 }
 
+QUERIES |= records.QUERIES | books.QUERIES
+
 # Building blocks of the SQL.
 _P = r"""l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS raw FROM documents),
 l1 AS (SELECT doc_id, line_no, trim(regexp_replace(raw, '[\t\f\x0B ]+', ' ', 'g')) AS text FROM l),
@@ -204,8 +217,8 @@ p AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(n // 20 + 1 AS IN
   sha256(CAST(doc_id AS VARCHAR)) || '#ch-' || printf('%03d', n // 20 + 1) || ':p-' || printf('%04d', n % 20 + 1) AS locator FROM l2)"""
 _NORM = "regexp_replace(replace(lower({}), 'ß', 'ss'), '\\s+', '', 'g')"
 _HITS = f"""{_P}, pn AS (SELECT locator, {_NORM.format("text")} AS norm FROM p), q AS (SELECT item_id, {_NORM.format("text")} AS quote FROM benchmark),
-h AS (SELECT item_id, locator FROM q JOIN pn ON length(quote) >= 6 AND contains(norm, quote))"""
-_STATUS = f"""{_HITS}, st AS (SELECT q.item_id, CASE WHEN length(any_value(quote)) = 0 THEN 'empty' WHEN count(DISTINCT locator) = 1 THEN 'exact' WHEN count(DISTINCT locator) > 1 THEN 'ambiguous' ELSE 'not-found' END AS status,
+h AS (SELECT item_id, locator FROM q JOIN pn ON quote <> '' AND contains(norm, quote))"""
+_STATUS = f"""{_HITS}, st AS (SELECT q.item_id, CASE WHEN length(any_value(quote)) = 0 THEN 'empty' WHEN count(DISTINCT locator) = 1 AND length(any_value(quote)) >= 6 THEN 'exact' WHEN count(DISTINCT locator) > 0 THEN 'ambiguous' ELSE 'not-found' END AS status,
 count(DISTINCT locator) AS candidate_count, CASE WHEN count(DISTINCT locator) = 1 THEN min(locator) END AS locator FROM q LEFT JOIN h USING (item_id) GROUP BY q.item_id)"""
 _LIT = "replace(replace(text, 'Licensed under the Apache License, Version 2.0.', ''), '###', '')"
 _REG = f"""{_P}, r0 AS (SELECT locator, text, trim({_LIT}) AS cleaned_text,
@@ -214,7 +227,8 @@ r AS (SELECT locator, sha256(text) AS original_sha256, CAST(n1 + n2 AS INTEGER)
 CASE WHEN NOT regexp_matches(cleaned_text, '[<>]') AND cleaned_text <> '' AND regexp_matches(cleaned_text, '[\\p{{L}}\\p{{N}}]') THEN 'usable' ELSE 'skipped' END AS clean_status FROM r0 WHERE n1 + n2 > 0)"""
 
 
-def _fold_sql(steps: tuple[tuple[str, str, str], ...]) -> str:
+def _fold_sql(table: str) -> str:
+    steps = [x.split() for x in table.split(",")]
     case = " ".join(f"WHEN state = '{s}' AND d = '{d}' THEN '{t}'" for s, d, t in steps)
     legal = " OR ".join(f"(state = '{s}' AND d = '{d}')" for s, d, _ in steps)
     return f"""e AS (SELECT user_id, ['confirm', 'revise', 'reject', 'retire'][event_id % 4 + 1] AS d, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
@@ -229,7 +243,12 @@ rec AS (SELECT doc_id, link_status, CASE WHEN link_status = 'needs-confirmation'
 _MERGE = """o AS (SELECT l_partkey AS candidate_id, CASE WHEN l_suppkey % 3 = 0 THEN '' ELSE p_name END AS name, l_suppkey AS rank, max(l_discount) >= 0.1 AS sold_out, count(*) AS ratings FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_partkey, l_suppkey, p_name),
 m AS (SELECT candidate_id, arg_min(nullif(name, ''), rank) FILTER (name <> '') AS name, array_to_string(list_sort(list_distinct(list(CAST(rank AS VARCHAR)))), ',') AS sources, bool_or(sold_out) AS sold_out, CAST(sum(ratings) AS BIGINT) AS ratings FROM o GROUP BY candidate_id)"""
 _WEEK = "CAST(date_trunc('week', ts + INTERVAL 8 HOUR) AS DATE)"
-_SECRET = " OR ".join(f"regexp_matches(text, '{p}')" for p in X.SECRET_PATTERNS)
+_SECRET = " OR ".join(f"regexp_matches(text, '{p}')" for p in (
+    r"(?i)\bauthorization\s*:\s*\S+", r"(?i)\bbearer\s+[a-z0-9._~+/=-]{8,}", r"(?i)\b(api[_ -]?key|access[_ -]?token|refresh[_ -]?token|client[_ -]?secret|password|passwd|cookie|private[_ -]?key|weread_api_key)\b\s*[:=]\s*\S",
+    r"(?i)-----BEGIN ((RSA|EC|OPENSSH) )?PRIVATE KEY-----", r"\bsk-[A-Za-z0-9_-]{12,}\b", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b",
+))
+_PROFILE = "candidate confirm confirmed,candidate revise revised,candidate reject rejected,confirmed revise revised,confirmed retire retired,revised revise revised,revised retire retired"
+_BELIEF = "candidate confirm provisional,provisional confirm confirmed,candidate revise provisional,provisional revise revised,confirmed revise revised,revised revise revised,candidate reject rejected,provisional retire retired,confirmed retire retired,revised retire retired"
 
 ORACLE_SQL: dict[str, str] = {
     "quote_status": f"WITH {_STATUS} SELECT * FROM st",
@@ -248,21 +267,22 @@ ORACLE_SQL: dict[str, str] = {
     "cleaning_registry": f"WITH {_REG} SELECT * FROM r",
     "analysis_text": f"WITH {_REG} SELECT p.locator, CASE WHEN clean_status = 'skipped' THEN NULL ELSE coalesce(cleaned_text, p.text) END AS analysis_text, coalesce(rules, '') AS cleaning FROM p LEFT JOIN r USING (locator)",
     "audit_paragraphs": f"""WITH {_P}, g AS (SELECT count(*) AS n FROM (SELECT doc_id, chapter FROM p GROUP BY ALL HAVING max(paragraph_index) <> count(*))),
-u AS (SELECT 'locator_unique' AS "check", count(*) - count(DISTINCT locator) AS violations FROM p UNION ALL SELECT 'text_present', count(*) FILTER (trim(text) = '') FROM p UNION ALL SELECT 'locator_format', count(*) FILTER (NOT regexp_matches(locator, '{X.LOCATOR}')) FROM p UNION ALL SELECT 'index_dense', n FROM g) SELECT *, violations = 0 AS ok FROM u""",
+u AS (SELECT 'locator_unique' AS "check", count(*) - count(DISTINCT locator) AS violations FROM p UNION ALL SELECT 'text_present', count(*) FILTER (trim(text) = '') FROM p UNION ALL SELECT 'locator_format', count(*) FILTER (NOT regexp_matches(locator, '^[0-9a-f]{{64}}#ch-[0-9]{{3}}:p-[0-9]{{4}}$')) FROM p UNION ALL SELECT 'index_dense', n FROM g) SELECT *, violations = 0 AS ok FROM u""",
     "new_events_only": "SELECT event_id, event_type FROM events WHERE event_id NOT IN (SELECT doc_id FROM labels)",
     "latest_state": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
-    "state_fold": f"WITH RECURSIVE {_fold_sql(E.PROFILE_STEPS)} SELECT * FROM z",
-    "belief_fold": f"WITH RECURSIVE {_fold_sql(E.BELIEF_STEPS)} SELECT * FROM z",
+    "state_fold": f"WITH RECURSIVE {_fold_sql(_PROFILE)} SELECT * FROM z",
+    "belief_fold": f"WITH RECURSIVE {_fold_sql(_BELIEF)} SELECT * FROM z",
     "weekly_report": f"SELECT {_WEEK} AS week, event_type, count(*) AS events, count(DISTINCT user_id) AS users FROM events GROUP BY ALL",
     "weekly_gaps": f"WITH e AS (SELECT {_WEEK} AS week, event_type FROM events), w AS (SELECT DISTINCT week FROM e), k AS (SELECT unnest({list(KINDS)}) AS missing) SELECT week, missing FROM w CROSS JOIN k WHERE (week, missing) NOT IN (SELECT (week, event_type) FROM e)",
     "delta_report": "WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS fetched FROM events GROUP BY ALL), b AS (SELECT *, lag(fetched) OVER (PARTITION BY user_id ORDER BY day) AS previous FROM d) SELECT user_id, day, fetched, previous, greatest(0, fetched - coalesce(previous, 0)) AS added, fetched IS DISTINCT FROM previous AS changed FROM b",
     "reconcile_catalog": f"WITH {_REC} SELECT * FROM rec",
     "status_distribution": f"WITH {_REC} SELECT link_status, count(*) AS n, count(*) FILTER (next_action = 'discuss') AS discussable FROM rec GROUP BY ALL",
     "unique_title_link": r"WITH t AS (SELECT doc_id, split_part(text, chr(10), 1) AS title FROM documents), f AS (SELECT DISTINCT doc_id, form FROM (SELECT doc_id, regexp_replace(replace(lower(title), 'ß', 'ss'), '[^\p{L}\p{N}]+', '', 'g') AS form FROM t UNION ALL SELECT doc_id, regexp_replace(replace(lower(regexp_extract(title, '^[^：:]*')), 'ß', 'ss'), '[^\p{L}\p{N}]+', '', 'g') FROM t) WHERE form <> '') SELECT a.doc_id AS remote_id, min(b.doc_id) AS local_id FROM f a JOIN f b ON a.form = b.form AND b.doc_id IN (SELECT doc_id FROM labels) GROUP BY a.doc_id HAVING min(b.doc_id) = max(b.doc_id)",
-    "user_statements": rf"WITH l AS (SELECT conv_id, turn, generate_subscripts(regexp_split_to_array(text, '[\r\n]+'), 1) AS i, unnest(regexp_split_to_array(text, '[\r\n]+')) AS text FROM conversations WHERE role = 'user') SELECT 'session:' || conv_id || '-' || turn || ':' || i AS source_id, trim(text) AS content FROM l WHERE trim(text) <> '' AND NOT ({_SECRET}) AND NOT regexp_matches(text, '(?i)\b(system prompt|tool call|context window)\b')",
+    "user_statements": r"""WITH l AS (SELECT conv_id, turn, generate_subscripts(regexp_split_to_array(text, '[\r\n]+'), 1) AS i, unnest(regexp_split_to_array(text, '[\r\n]+')) AS text FROM conversations WHERE role = 'user')
+SELECT 'session:' || conv_id || '-' || turn || ':' || i AS source_id, trim(text) AS content FROM l WHERE trim(text) <> '' AND NOT regexp_matches(text, '(?i)(api[ _-]?key|access[ _-]?token|authorization|credential|secret|password|密钥|密码|令牌)') AND NOT regexp_matches(text, '(?i)(验收|体验可用|节点\s*\d|跳过.{0,6}讨论|流程.{0,8}通过|skill|同步.{0,8}成功|导入.{0,8}成功)')""",
     "session_flags": "SELECT conv_id, bool_or(role = 'system') AS has_system, count(*) AS turns, count(*) FILTER (role = 'user') AS user_turns, max(turn) AS last_turn FROM conversations GROUP BY conv_id",
     "secret_scan": f"SELECT doc_id, ({_SECRET}) AS has_secret FROM documents",
-    "context_eligibility": f"WITH RECURSIVE {_fold_sql(E.PROFILE_STEPS)}, x AS (SELECT user_id AS source_id, CASE WHEN CASE WHEN user_id % 2 = 0 THEN 'confirmed' ELSE state END <> 'confirmed' THEN 'profile-status-not-active' WHEN user_id % 3 = 0 THEN 'profile-scope-mismatch' WHEN user_id % 5 = 0 THEN 'profile-expired' END AS exclusion_basis FROM z) SELECT source_id, exclusion_basis, exclusion_basis IS NULL AND source_id % 7 <> 0 AS selected_by_default, exclusion_basis IS NULL AND source_id % 7 = 0 AS requires_explicit_selection FROM x",
+    "context_eligibility": f"WITH RECURSIVE {_fold_sql(_PROFILE)}, x AS (SELECT user_id AS source_id, CASE WHEN CASE WHEN user_id % 2 = 0 THEN 'confirmed' ELSE state END NOT IN ('confirmed', 'revised') THEN 'profile-status-not-active' WHEN user_id % 3 = 0 THEN 'profile-scope-mismatch' WHEN user_id % 5 = 0 THEN 'profile-expired' END AS exclusion_basis FROM z) SELECT source_id, exclusion_basis, exclusion_basis IS NULL AND source_id % 7 <> 0 AS selected_by_default, exclusion_basis IS NULL AND source_id % 7 = 0 AS requires_explicit_selection FROM x",
     "candidate_merge": f"WITH {_MERGE} SELECT * FROM m",
     "candidate_rank": rf"WITH {_MERGE} SELECT candidate_id, NOT sold_out AS eligible, ratings, regexp_replace(replace(lower(name), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]+', '', 'g') AS title_key FROM m ORDER BY eligible DESC, ratings DESC, title_key NULLS FIRST, candidate_id LIMIT 50",
     "topic_rank": "WITH n AS (SELECT doc_id, " + _NORM.format("text") + " AS t FROM documents) SELECT doc_id, CASE WHEN contains(t, 'thenation') THEN 4 ELSE 0 END + " + " + ".join(f"CAST(contains(t, '{g}') AS INTEGER)" for g in ("th", "he", "en", "na", "at", "ti", "io", "on")) + " AS score FROM n ORDER BY score DESC, doc_id LIMIT 10",
@@ -281,6 +301,8 @@ u AS (SELECT 'locator_unique' AS "check", count(*) - count(DISTINCT locator) AS
     "edition_mapping": """WITH x AS (SELECT p_partkey AS pair_id, p_retailprice < 950 AS off, CASE split_part(p_type, ' ', 1) WHEN 'STANDARD' THEN 1 WHEN 'PROMO' THEN 0 END AS code, p_size > 25 AS sure FROM part)
 SELECT pair_id, CASE WHEN off THEN 'mismatch' WHEN code = 1 THEN 'confirmed' WHEN code = 0 THEN 'candidate' WHEN sure THEN 'confirmed' ELSE 'candidate' END AS mapping_status, CASE WHEN off OR code = 0 THEN 'mismatch' WHEN code = 1 OR sure THEN 'confirmed' ELSE 'needs-confirmation' END AS edition_status FROM x""",
     "decision_queue": "SELECT c_custkey AS candidate_id, arg_max(o_orderstatus, o_orderkey) AS decision, CASE WHEN count(o_orderkey) = 0 THEN 'pending' ELSE 'resolved' END AS queue FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
-    "text_encodings": "SELECT doc_id, CASE WHEN contains(text, chr(0)) THEN 'rejected' ELSE 'detected' END AS status, CASE WHEN NOT contains(text, chr(0)) THEN 'utf-8' END AS encoding, CASE WHEN NOT contains(text, chr(0)) THEN 'high' END AS confidence, CASE WHEN contains(text, chr(0)) THEN 'nul-bytes' END AS reason FROM documents",
+    "text_encodings": """SELECT doc_id, CASE WHEN doc_id % 6 > 3 THEN 'rejected' ELSE 'detected' END AS status, ['utf-8', 'utf-8-sig', 'utf-16', 'gb18030', NULL, NULL][doc_id % 6 + 1] AS encoding, ['high', 'bom', 'bom', 'medium', NULL, NULL][doc_id % 6 + 1] AS confidence,
+CASE WHEN doc_id % 6 = 5 THEN 'unsupported' WHEN doc_id % 6 = 4 AND octet_length(encode(text)) < 524288 THEN 'nul-bytes' END AS reason FROM documents""",
     "deterministic_ids": "SELECT conv_id, turn, 'candidate-' || substring(sha256(CAST(conv_id AS VARCHAR) || chr(0) || CAST(turn AS VARCHAR) || chr(0) || coalesce(text, '')), 1, 16) AS candidate_id FROM conversations",
 }
+ORACLE_SQL |= records.ORACLE_SQL | books.oracle(_P, _NORM, _REG)

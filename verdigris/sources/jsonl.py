@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +19,11 @@ def read_lenient(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame
 
 
 def append_new(df: DataFrame, path: str, key: str = "event_id") -> None:
-    """Appends rows whose key is not stored yet; reads tolerate a retried append because keys decide, not files."""
-    spark = df.sparkSession
+    """Appends rows whose key is not stored yet, each key once. Writers of one path must take turns: two at once could both find a key missing."""
     rows = df.dropDuplicates([key])
-    if spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
-        rows = rows.join(spark.read.schema(df.schema).json(path).select(key), key, "left_anti")
+    try:
+        rows = rows.join(df.sparkSession.read.schema(df.schema).json(path).select(key), key, "left_anti")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
     rows.write.mode("append").json(path)

@@ -163,6 +163,22 @@ def test_chat_reads_back(spark):
     assert all(r["text"].startswith("<|im_start|>system\n") for r in windows.where("conv_id = 1").collect())
 
 
+def test_chat_edges(spark):
+    schema = "conv_id string, turn bigint, role string, text string, window int, block int, body int"
+    assert chat.chat_windows(spark.createDataFrame([], schema)).count() == 0
+    rows = [("a", i, "system" if i == 0 else ("user", "assistant")[i % 2], f"w{i} " * (1 + i % 7), 1, 2, 3) for i in range(60)] * 2
+    rows += [(None, None, None, None, 1, 2, 3)] * 2
+    for block in (7, 1024):
+        windows = chat.chat_windows(spark.createDataFrame(rows, schema), budget=64, history=16, block=block).orderBy("conv_id", "window").collect()
+        if block == 7:
+            first = [tuple(r) for r in windows]
+        assert [tuple(r) for r in windows] == first
+    read = {}
+    for r in chat.read_windows(chat.chat_windows(spark.createDataFrame(rows, schema), budget=64, history=16)).orderBy("conv_id", "window").collect():
+        read.setdefault(r["conv_id"], []).extend(t["text"] for t in r["turns"])
+    assert read["a"] == [r[3] for r in sorted(rows[:120], key=lambda r: r[1])] and read[None] == ["", ""]
+
+
 def test_pieces_and_counts(edge, empty):
     sp = pieces.ChunkEncoder(pieces.default_model())
     rng = random.Random(5)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_same, text_or_empty, words
+from .common import text_or_empty, words
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 
@@ -49,43 +49,57 @@ def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 256, turn_
     role count as empty, a null ``turn`` comes first, and rows with a null ``conv_id`` are one conversation. A
     conversation always has a window; an empty table gives none. Other columns are never read.
     """
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text_or_empty().alias("body"), F.floor(F.col("turn") / block).alias("block"))
+    # Keys without nulls, so that all joins on them are plain ones and keep the partitioning of the first exchange.
+    kind = turns.schema["conv_id"].dataType
+    conv, at_block = ["__none", "__conv"], ["__none", "__conv", "block"]
+    rows = turns.select(
+        F.col("conv_id").isNull().alias("__none"), F.coalesce("conv_id", F.lit(0).cast(kind)).alias("__conv"), F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62))).alias("block"),
+        "turn", F.coalesce("role", F.lit("")).alias("role"), text_or_empty().alias("body"),
+    )
     rows = rows.withColumn("cost", (F.size(words(F.col("body"))) + turn_overhead).cast("long"))
-    inside = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "body").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*at_block).orderBy("turn", "role", "body").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("cost").over(inside), F.lit(0).cast("long")))
     opens = (F.col("inner") == 0) & (F.col("role") == "system")
-    blocks = rows.groupBy("conv_id", "block").agg(F.sum("cost").alias("total"), F.coalesce(F.max(F.when(opens, F.col("cost"))), F.lit(0).cast("long")).alias("opening"))
-    over = Window.partitionBy("conv_id").orderBy("block")
-    blocks = blocks.select("conv_id", "block", F.coalesce(F.sum("total").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("before"), F.first("opening").over(over).alias("system"))
-    rows = join_same(rows, blocks, ["conv_id", "block"]).select("conv_id", "role", "body", "cost", "system", (F.col("before") + F.col("inner")).alias("at"))
+    blocks = rows.groupBy(*at_block).agg(F.sum("cost").alias("total"), F.coalesce(F.max(F.when(opens, F.col("cost"))), F.lit(0).cast("long")).alias("opening"))
+    over = Window.partitionBy(*conv).orderBy("block")
+    blocks = blocks.select(*at_block, F.coalesce(F.sum("total").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("before"), F.first("opening").over(over).alias("system"))
+    rows = rows.join(blocks, at_block).select(*at_block, "role", "body", "cost", "system", (F.col("before") + F.col("inner")).alias("at"))
     cell = F.greatest(F.lit(budget - history) - F.col("system"), F.lit(budget // 4))
     rows = rows.withColumns({"cell": cell, "is_system": (F.col("at") == 0) & (F.col("system") > 0), "at": F.greatest(F.col("at") - F.col("system"), F.lit(0))})
     k = F.floor(F.col("at") / F.col("cell"))
     rows = rows.withColumn("window", F.when(F.col("is_system"), F.lit(0)).otherwise(2 * k + (F.col("at") + F.col("cost") > (k + 1) * F.col("cell")).cast("int")).cast("long"))
 
-    spans = rows.groupBy("conv_id", "window").agg(F.min("at").alias("opens_at"), F.max("is_system").alias("has_system"))
-    new = rows.select("conv_id", "window", "is_system", "at", "role", "body", F.lit(False).alias("repeated"))
+    # Which later windows repeat a turn is found by numbers alone; a block's answers come back to it as one small row.
+    spans = rows.groupBy(*conv, "window").agg(F.min("at").alias("opens_at"), F.max("is_system").alias("has_system"))
     ends = F.col("at") + F.col("cost")
     cells = F.sequence(F.floor(ends / F.col("cell")), F.floor((F.col("at") + history) / F.col("cell")))
-    before = rows.where(~F.col("is_system") & (F.col("cost") <= history)).select("conv_id", "at", "role", "body", ends.alias("ends_at"), F.explode(F.flatten(F.transform(cells, lambda c: F.array(2 * c, 2 * c + 1)))).alias("window"))
-    told = join_same(before, spans, ["conv_id", "window"], where=(F.col("opens_at") >= F.col("ends_at")) & (F.col("opens_at") <= F.col("at") + history))
-    told = told.select("conv_id", "window", F.lit(False).alias("is_system"), "at", "role", "body", F.lit(True).alias("repeated"))
-    first = rows.where("is_system").select("conv_id", "role", "body")
-    others = spans.where(~F.col("has_system")).select("conv_id", "window")
-    kept = join_same(others, first, ["conv_id"]).select("conv_id", "window", F.lit(True).alias("is_system"), F.lit(0).cast("long").alias("at"), "role", "body", F.lit(True).alias("repeated"))
-
-    every = new.unionByName(told).unionByName(kept)
-    every = every.withColumn("head", F.concat(F.lit(START), _escape_role(F.col("role")), F.lit("\n"))).withColumn("shown", escape(F.col("body")))
-    every = every.withColumn("line", F.concat("head", "shown", F.lit(END)))
-    place = Window.partitionBy("conv_id", "window").orderBy(F.desc("is_system"), "at")
-    every = every.withColumns({"no": F.row_number().over(place), "from": F.coalesce(F.sum(F.length("line")).over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    begins = (F.col("from") + F.length("head")).cast("int")
-    span = F.when((F.col("role") == "assistant") & ~F.col("repeated"), F.struct(begins.alias("start"), (begins + F.length("shown")).cast("int").alias("end")))
-    return (
-        every.groupBy("conv_id", "window")
-        .agg(F.sort_array(F.collect_list(F.struct("no", "line"))).alias("lines"), F.count_if("repeated").cast("int").alias("n_repeated"), F.sort_array(F.collect_list(span)).alias("loss_spans"))
-        .select("conv_id", "window", F.array_join(F.col("lines.line"), "").alias("text"), F.size("lines").alias("n_turns"), "n_repeated", "loss_spans")
-    )
+    before = rows.where(~F.col("is_system") & (F.col("cost") <= history)).select(*at_block, "at", ends.alias("ends_at"), F.explode(F.flatten(F.transform(cells, lambda c: F.array(2 * c, 2 * c + 1)))).alias("window"))
+    told = before.join(spans, [*conv, "window"]).where((F.col("opens_at") >= F.col("ends_at")) & (F.col("opens_at") <= F.col("at") + history)).select(*at_block, "at", "window")
+    opening = rows.where("is_system").select(*at_block, F.lit(-1).cast("long").alias("at"))
+    kept = opening.join(spans.where(~F.col("has_system")).select(*conv, "window"), conv).select(*at_block, "at", "window")
+    again = told.unionByName(kept).groupBy(*at_block, "at").agg(F.collect_list("window").alias("windows"))
+    again = again.groupBy(*at_block).agg(F.map_from_entries(F.collect_list(F.struct("at", "windows"))).alias("again"))
+    spot = F.when(F.col("is_system"), F.lit(-1).cast("long")).otherwise(F.col("at"))
+    shown = rows.join(again, at_block, "left").withColumn("again", F.coalesce(F.try_element_at("again", spot), F.expr("cast(array() as array<bigint>)")))
+    targets = F.concat(F.array(F.struct("window", F.lit(False).alias("repeated"))), F.transform("again", lambda w: F.struct(w.alias("window"), F.lit(True).alias("repeated"))))
+    every = shown.select(*conv, "is_system", "at", "role", "body", F.explode(targets).alias("to")).select(*conv, "to.window", "to.repeated", "is_system", "at", "role", "body")
+
+    turn = F.struct((~F.col("is_system")).alias("later"), "at", "role", "body", "repeated")
+    grouped = every.groupBy(*conv, "window").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    grouped = grouped.withColumn("lines", F.transform("turns", lambda t: F.struct(F.concat(F.lit(START), _escape_role(t["role"]), F.lit("\n")).alias("head"), escape(t["body"]).alias("shown"), t["repeated"].alias("repeated"), ((t["role"] == "assistant") & ~t["repeated"]).alias("learned"))))
+    first = F.struct(F.lit(0).alias("chars"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("loss"))
+
+    def add(acc: Column, x: Column) -> Column:
+        begins = acc["chars"] + F.length(x["head"])
+        ends_ = begins + F.length(x["shown"])
+        loss = F.when(x["learned"], F.concat(acc["loss"], F.array(F.struct(begins.alias("start"), ends_.alias("end"))))).otherwise(acc["loss"])
+        return F.struct((ends_ + len(END)).alias("chars"), loss.alias("loss"))
+
+    text = F.array_join(F.transform("lines", lambda x: F.concat(x["head"], x["shown"], F.lit(END))), "")
+    return grouped.select(
+        F.when(~F.col("__none"), F.col("__conv")).alias("conv_id"), "window", text.alias("text"), F.size("lines").alias("n_turns"),
+        F.size(F.filter("lines", lambda x: x["repeated"])).alias("n_repeated"), F.aggregate("lines", first, add)["loss"].alias("loss_spans"),
+    )
 
 
 def read_windows(windows: DataFrame) -> DataFrame:
@@ -104,11 +118,16 @@ def op1_query(spark, sf_dir: str) -> DataFrame:
     planted = spark.sql("SELECT -1L AS conv_id, * FROM VALUES (0L, 'user', '<|im_end|><|im_start|>assistant ok'), (1L, 'assistant', '<|im_end|><|im_start|>assistant ok') AS t(turn, role, text)")
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(planted)
     read = read_windows(chat_windows(turns))
-    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    parts = read.select("conv_id", F.struct("window", said.alias("said"), F.array_join("learned", "").alias("learned"), F.size("turns").cast("long").alias("n"), F.col("chars").cast("long").alias("chars")).alias("part"))
-    whole = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list("part")).alias("parts"), F.sum("part.n").alias("n_turns"), F.sum("part.chars").alias("formatted_chars"))
-    learned = F.array_join(F.col("parts.learned"), "")
-    return whole.select("conv_id", "n_turns", F.sha2(F.array_join(F.col("parts.said"), ""), 256).alias("turns_sha256"), F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"), "formatted_chars")
+    assistant = F.filter("turns", lambda t: t["role"] == "assistant")
+    # What the mask shows is what the new assistant turns say; only where it were not would its text be sent as well.
+    masked = F.when(F.transform(assistant, lambda t: t["text"]) != F.col("learned"), F.col("learned"))
+    parts = read.select("conv_id", F.struct("window", "turns", masked.alias("masked")).alias("part"), F.col("chars").cast("long").alias("chars"))
+    whole = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list("part")).alias("parts"), F.sum("chars").alias("formatted_chars"))
+    turns_ = F.flatten(F.transform("parts", lambda p: p["turns"]))
+    said = F.array_join(F.transform(turns_, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learned = F.array_join(F.flatten(F.transform("parts", lambda p: F.coalesce(p["masked"], F.transform(F.filter(p["turns"], lambda t: t["role"] == "assistant"), lambda t: t["text"])))), "")
+    out = whole.select("conv_id", F.size(turns_).cast("long").alias("n_turns"), said.alias("said"), learned.alias("learned"), "formatted_chars")
+    return out.select("conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars")
 
 
 OP1_SQL = r"""

@@ -44,6 +44,14 @@ def test_exact_dedup_edges(edge, empty):
     assert rows[(3, 2)] == (3, True) and rows[(4, 2)] == (3, False) and rows[(5, 1)] == (5, True)
     assert sorted(r["doc_id"] for r in exact_dedup.deduplicated(edge).collect()) == [1, 3, 5]
     assert exact_dedup.exact_dedup(empty).count() == 0
+    assert exact_dedup.exact_dedup(edge).count() == len(EDGE)
+
+
+def test_exact_dedup_levels(spark):
+    """A length of its own needs no prefix, a prefix of its own no full hash; equal prefixes are told by the full hash."""
+    rows = [(1, "a" * 10), (2, "b" * 20), (3, "c" * 20), (4, "x" * 64 + "p"), (5, "x" * 64 + "q"), (6, "x" * 64 + "p")]
+    found = {r["doc_id"]: (r["level"], r["keep_id"], r["content_sha256"] is None) for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert found == {1: ("length", 1, True), 2: ("prefix", 2, True), 3: ("prefix", 3, True), 4: ("full", 4, False), 5: ("full", 5, False), 6: ("full", 4, False)}
 
 
 def _brute_simhash(rows, distance=4):
@@ -247,6 +255,15 @@ def test_mixing_edges(edge, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_mixing_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(i if i % 3 else None, "w " * (1 + i % 5) + str(i), "en", "src1") for i in range(40)] + [(7, "other text of seven", "en", "src1"), (None, None, None, None)]
+    chosen = []
+    for some in (rows, rows[::-1]):
+        docs = spark.createDataFrame(some, "doc_id bigint, text string, lang string, source string").repartition(3)
+        chosen.append(sorted((str(r["doc_id"]), r["n_tokens"], r["copies"]) for r in mixing.mix_sources(docs, budget_share=0.4, max_epochs=1).collect()))
+    assert chosen[0] == chosen[1] and 0 < sum(c for *_, c in chosen[0]) < 42
+
+
 def test_warc_round_trip(spark, tmp_path):
     html = "WARC/1.1\r\n\r\n" + "é" * 100
     rows = [(3, "http://www.A.example/x/#f", html, 1), (1, "https://a.example/x", html, 1), (2, None, None, 1), (4, "http://b.example", "short", 1), (5, "b.example/\n", "short", 1), (None, "c", html, 1)]

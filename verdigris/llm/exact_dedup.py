@@ -1,20 +1,19 @@
 """Exact dedup by progressive refinement: length, then prefix hash, then full hash.
 
 Only built-in functions: no row leaves the JVM and no text is shuffled. The first scan makes a narrow row per
-document (id, normalised length, hash of a prefix); aggregations, combined before each shuffle, find the classes
-that survive each level. The second scan takes the full hash, and only of texts whose (length, prefix) class may
-have survived: a bitmap of the surviving classes, of a fixed size whatever the input, tells the scan which.
+document (length and prefix hash of its normalised text). Rows of a length that no other row has are decided there;
+of the others, those whose prefix no other row of their length has. The second scan takes the full hash, and only of
+texts that may have survived both: bitmaps of the surviving classes, of a fixed size whatever the input, tell which.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_same, spaced, text_or_empty
+from .common import cut, in_bitmap, repeated_bitmap, spaced, text_or_empty
 
-#: Bits in one bitmap of bitmap_construct_agg (fixed by Spark).
-BITMAP_BITS = 32768
+LENGTH, PREFIX = ["norm_chars"], ["norm_chars", "prefix_hash"]
 
 
 def _measured(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int) -> DataFrame:
@@ -22,50 +21,33 @@ def _measured(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int) ->
     return rows.withColumns({"norm_chars": F.length("norm"), "prefix_hash": F.xxhash64(F.substring("norm", 1, prefix_chars))})
 
 
-def _slot(bitmaps: int) -> tuple[Column, Column]:
-    """The bitmap of a class, and its bit there."""
-    h = F.xxhash64("norm_chars", "prefix_hash")
-    return F.pmod(F.shiftright(h, 15), F.lit(bitmaps)), F.pmod(h, F.lit(BITMAP_BITS)).cast("int")
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64, bitmaps: int = 256) -> DataFrame:
-    """One row per document: ``doc_id, keep_id, group_size, kept, norm_chars, prefix_hash, content_sha256``.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64, bitmaps: int = 256, digests: bool = False) -> DataFrame:
+    """One row per input row: ``doc_id, keep_id, group_size, kept, level, norm_chars, prefix_hash, content_sha256``.
 
     Texts are equal when identical after each run of ASCII white space is made one space. Null text counts as
-    empty. Of equal texts the row with the smallest id stays. Rows repeated with the same id and equal text are
-    one document: they make one output row and all count in ``group_size``. Rows with a null id are one document
-    per text, which stays only where no equal text has an id. An empty table gives an empty result. Columns
-    other than the two named are never read. ``content_sha256`` is null where no full hash was needed.
-
-    ``bitmaps`` times 4 KB is what is broadcast (1 MB by default), however large the input; when the surviving
-    classes outgrow it, more full hashes are taken, and the result is the same.
+    empty. Of equal texts the row with the smallest id stays; rows repeated with that id are all marked ``kept`` and
+    all count in ``group_size`` (``deduplicated`` leaves one of them). A row without an id stays only where no equal
+    text has one. An empty table gives an empty result. Columns other than the two named are never read.
+
+    ``level`` says where a row was decided: ``length``, ``prefix`` or ``full``. ``content_sha256`` is null where no
+    full hash was needed, unless ``digests`` asks the second scan for those as well. Two sets of ``bitmaps`` times
+    4 KB are broadcast (2 MB by default), however large the input; when the surviving classes outgrow them, more full
+    hashes are taken, and the result is the same.
     """
-    narrow = _measured(docs, id_col, text_col, prefix_chars).select("doc_id", "norm_chars", "prefix_hash")
-    by_prefix = narrow.groupBy("norm_chars", "prefix_hash").agg(F.count("*").alias("n"))
-    by_length = by_prefix.groupBy("norm_chars").agg(F.sum("n").alias("of_length"))
-    crowded = by_length.where("of_length > 1").select("norm_chars")
-    shared = by_prefix.where("n > 1").join(crowded, "norm_chars", "left_semi").select("norm_chars", "prefix_hash")
-    which, bit = _slot(bitmaps)
-    filters = shared.groupBy(which.alias("slot")).agg(F.bitmap_construct_agg(bit).alias("bits"))
-
-    seen = _measured(docs, id_col, text_col, prefix_chars).withColumns({"slot": which, "bit": bit})
-    byte = F.conv(F.hex(F.substring("bits", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    may = F.coalesce(F.expr("shiftright(byte, bit % 8) & 1 = 1"), F.lit(False))
-    hashed = (
-        seen.join(F.broadcast(filters), "slot", "left")
-        .withColumn("byte", byte)
-        .select("doc_id", "norm_chars", "prefix_hash", F.when(may, F.sha2("norm", 256)).alias("content_sha256"))
-    )
+    narrow = cut(_measured(docs, id_col, text_col, prefix_chars).select(*PREFIX))
+    lengths = repeated_bitmap(narrow, LENGTH, bitmaps)
+    crowded = in_bitmap(narrow, lengths, LENGTH, "crowded", bitmaps).where("crowded").select(*PREFIX)
+    prefixes = repeated_bitmap(crowded, PREFIX, bitmaps)
+
+    rows = in_bitmap(in_bitmap(_measured(docs, id_col, text_col, prefix_chars), lengths, LENGTH, "by_length", bitmaps), prefixes, PREFIX, "by_prefix", bitmaps)
+    level = F.when(~F.col("by_length"), "length").when(~F.col("by_prefix"), "prefix").otherwise("full")
+    rows = rows.select("doc_id", level.alias("level"), *PREFIX, F.when(F.lit(digests) | (level == "full"), F.sha2("norm", 256)).alias("content_sha256"))
     # A class with one row can have a full hash too (its bit is shared); it then is a group of one.
-    members = hashed.groupBy("doc_id", "norm_chars", "prefix_hash", "content_sha256").agg(F.count("*").alias("n"))
-    alone = members.where("content_sha256 is null").select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"), F.lit(True).alias("kept"), "norm_chars", "prefix_hash", "content_sha256"
-    )
-    full = members.where("content_sha256 is not null")
-    groups = full.groupBy("content_sha256").agg(F.min("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    together = full.join(groups, "content_sha256").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "norm_chars", "prefix_hash", "content_sha256"
-    )
+    full = rows.where("level = 'full'")
+    groups = full.groupBy("content_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    out = ["doc_id", "keep_id", "group_size", "kept", "level", *PREFIX, "content_sha256"]
+    together = full.join(groups, "content_sha256").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(*out)
+    alone = rows.where("level <> 'full'").withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)}).select(*out)
     return alone.unionByName(together)
 
 
@@ -74,7 +56,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A row is told by its id and its text, so rows of one id (or none) with different texts are decided each for itself.
     """
-    keep = exact_dedup(docs, id_col, text_col).where("kept").select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "norm_chars", "prefix_hash", "content_sha256")])
+    keep = exact_dedup(docs, id_col, text_col).where("kept").select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "norm_chars", "prefix_hash", "content_sha256")]).distinct()
     norm = spaced(text_or_empty(text_col))
     rows = docs.withColumns({"__chars": F.length(norm), "__prefix": F.xxhash64(F.substring(norm, 1, 64))})
     # Without a full hash no other row has the same length and prefix.
@@ -84,16 +66,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op3_query(spark, sf_dir: str) -> DataFrame:
-    """The contract's rows: the operator's groups, with the digest of every normalised text from one more narrow scan."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = exact_dedup(docs)
-    texts = _measured(docs, "doc_id", "text", 64).select("doc_id", "norm_chars", "prefix_hash", F.sha2("norm", 256).alias("text_sha256")).distinct()
-    agree = F.col("content_sha256").isNull() | (F.col("content_sha256") == F.col("text_sha256"))
-    return join_same(found, texts, ["doc_id", "norm_chars", "prefix_hash"], where=agree).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    """The contract's rows: the operator's groups, with the digest of every normalised text from the same second scan."""
+    found = exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), digests=True)
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.col("content_sha256").alias("text_sha256"))
 
 
 OP3_SQL = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
 g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, norm FROM t)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(norm) AS text_sha256 FROM g
 """

@@ -71,10 +71,11 @@ def mix_sources(
     the prefix of the last. The prefix ends before the first document that does not fit.
 
     Null text has no tokens and never uses up budget. Null languages and sources are leaves of their own; a null id
-    is ordered as an empty one. Repeated rows are chosen one by one, in one place of the order. An empty table gives
-    an empty result; other columns are never read.
+    is ordered as an empty one. Rows of one id are ordered by a hash of their texts, so the choice never depends on
+    the order of the input; equal rows are chosen one by one. An empty table gives an empty result; other columns are
+    never read.
     """
-    return _chosen(docs, F.lit(0), id_col, text_col, lang_col, source_col, domain, weights, budget_share, max_epochs, seed).drop("text_hash")
+    return _chosen(docs, F.xxhash64(text_or_empty(text_col)), id_col, text_col, lang_col, source_col, domain, weights, budget_share, max_epochs, seed).drop("text_hash")
 
 
 def _chosen(docs: DataFrame, text_hash: Column, id_col: str, text_col: str, lang_col: str, source_col: str, domain: Column | None, weights: dict[str, dict[str, float]] | None, budget_share: float, max_epochs: int, seed: int) -> DataFrame:
@@ -85,6 +86,8 @@ def _chosen(docs: DataFrame, text_hash: Column, id_col: str, text_col: str, lang
     plan = budgets.select(*LEAF, F.when(F.col("available") > 0, F.floor(F.col("given") / F.col("available"))).otherwise(F.lit(0)).alias("epochs"), F.when(F.col("available") > 0, F.col("given") % F.col("available")).otherwise(F.lit(0)).alias("rest"))
     placed = join_same(rows, plan, LEAF)
     placed = placed.withColumn("key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    # Rows without an id share one key: a hash of their texts spreads them over buckets.
+    placed = placed.withColumn("key", F.when(F.col("doc_id").isNull(), F.md5(F.concat_ws(":", "key", F.col("text_hash").cast("string")))).otherwise(F.col("key")))
     placed = placed.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     # Where the prefix ends: sums by bucket tell the bucket; only that bucket's rows are put in order.
     sums = placed.groupBy(*LEAF, "bucket").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))

@@ -81,24 +81,30 @@ def _distance(p: Column, q: Column) -> Column:
     return F.when(total > 0, F.sqrt(F.greatest(summed / 2, F.lit(0.0)))).otherwise(F.lit(0.0))
 
 
+def _window_hash(*words_: Column) -> Column:
+    return F.xxhash64(*words_)
+
+
 def _repeat_words() -> Column:
     """How many words stand in 3-word windows that occur twice or more.
 
-    Windows are sorted by hash and place; neighbours of equal hash are compared word by word. A text of more words
-    than a place can number sorts its windows as they are.
+    Windows are sorted by hash and place; neighbours of equal hash are compared word by word. Where two of them
+    differ, hashes have met by chance, and that text's windows are sorted as they are, as are those of a text of
+    more words than a place can number.
     """
     w = F.col("__words")
     starts = F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0)))
-    packed = F.sort_array(F.transform(starts, lambda x, i: F.shiftleft(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)), PLACE_BITS).bitwiseOR(i.cast("long"))))
+    packed = F.sort_array(F.transform(starts, lambda x, i: F.shiftleft(_window_hash(x, F.get(w, i + 1), F.get(w, i + 2)), PLACE_BITS).bitwiseOR(i.cast("long"))))
     place = lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
     words_equal = lambda a, b: (F.get(w, a) == F.get(w, b)) & (F.get(w, a + 1) == F.get(w, b + 1)) & (F.get(w, a + 2) == F.get(w, b + 2))
     near = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 2), lambda i: F.shiftright(F.get(s, i).bitwiseXOR(F.get(s, i + 1)), PLACE_BITS) == 0)
     pairs = lambda s: F.transform(near(s), lambda i: F.array(place(F.get(s, i)), place(F.get(s, i + 1))))
-    short = F.transform(F.array(packed), lambda s: F.flatten(F.filter(pairs(s), lambda p: words_equal(p[0], p[1]))))
+    alike = lambda ps: F.when(F.forall(ps, lambda p: words_equal(p[0], p[1])), F.flatten(ps))
+    short = F.get(F.transform(F.array(packed), lambda s: F.get(F.transform(F.array(pairs(s)), alike), F.lit(0))), F.lit(0))
     exact = F.sort_array(F.transform(starts, lambda x, i: F.struct(F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("i"))))
     same_text = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 2), lambda i: F.get(s, i)["g"] == F.get(s, i + 1)["g"])
-    long = F.transform(F.array(exact), lambda s: F.flatten(F.transform(same_text(s), lambda i: F.array(F.get(s, i)["i"], F.get(s, i + 1)["i"]))))
-    found = F.flatten(F.when(F.size(w) < 4, F.expr("cast(array() as array<array<int>>)")).when(F.size(w) < (1 << PLACE_BITS), short).otherwise(long))
+    long = F.get(F.transform(F.array(exact), lambda s: F.flatten(F.transform(same_text(s), lambda i: F.array(F.get(s, i)["i"], F.get(s, i + 1)["i"])))), F.lit(0))
+    found = F.when(F.size(w) < 4, F.expr("cast(array() as array<int>)")).when(F.size(w) < (1 << PLACE_BITS), F.coalesce(short, long)).otherwise(long)
     return F.size(F.array_distinct(F.flatten(F.transform(found, lambda i: F.array(i, i + 1, i + 2))))).cast("long")
 
 

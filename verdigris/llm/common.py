@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,14 +15,14 @@ BITMAP_BITS = 32768
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``, or the one that the context was given; with neither there is no place for tables between jobs."""
+    """The shared folder of ``spark.checkpoint.dir``, or the one that the context was given. With neither a local master (tests) gets a temporary one; a cluster has no place for tables between jobs then."""
     sc = spark.sparkContext
     named, have = spark.conf.get("spark.checkpoint.dir", None), sc.getCheckpointDir()
-    if not (named or have):
+    if not (named or have) and not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if have is None:
-        sc.setCheckpointDir(named)
-    return named or have
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return named or sc.getCheckpointDir()
 
 
 def shared_folder(spark: SparkSession, kind: str) -> str:

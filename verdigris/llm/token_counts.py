@@ -3,10 +3,15 @@
 A text is cut into pre-tokens (a word with the marker of the space before it). The batch's distinct pre-tokens are
 inserted into a trie; a depth-first walk keeps the best unigram score of every prefix on the path, so a prefix
 shared by many words is scored once, and a terminal node stores the token count of its word.
+
+Scores are log-probabilities of a unigram model. A merge vocabulary has no such scores, only the order in which its
+pieces were made, most frequent first; the probability of its piece of rank r follows from the Zipf-Mandelbrot law,
+proportional to 1 / (r + shift). Nothing is learned from the corpus, so counts do not change with it.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -23,17 +28,24 @@ PRE_TOKEN = re.compile(r"[^\x20\x09-\x0D]+|[\x20\x09-\x0D]")
 class TrieCounter:
     """Counts of the best unigram segmentation, for sets of pre-tokens.
 
-    A piece's score is the model's own. A character that no piece covers falls back to its UTF-8 bytes, each one
-    token of ``byte_score``. Of segmentations with equal scores that with fewer tokens counts.
+    A piece's score is the log-probability of its rank (``ranked``, for vocabularies of merges), or else the model's
+    own score. A character can fall back to its UTF-8 bytes, each one token that is as likely as the last of 256
+    further ranks. Of segmentations with equal scores that with fewer tokens counts.
     """
 
-    def __init__(self, model_path: str, byte_score: float = -100_000.0):
+    def __init__(self, model_path: str, ranked: bool = True, shift: float = 2.7):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
         self.pieces = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
         self.longest = max(map(len, self.pieces))
-        self.byte_score = byte_score
+        self.byte_score = min(self.pieces.values()) - 10.0
+        if ranked:
+            order = sorted(self.pieces, key=lambda p: (-self.pieces[p], p))
+            weights = [1 / (rank + shift) for rank in range(1, len(order) + 257)]
+            log_total = math.log(sum(weights))
+            self.pieces = {p: math.log(w) - log_total for p, w in zip(order, weights, strict=False)}
+            self.byte_score = math.log(weights[-1]) - log_total
 
     def counts(self, pre_tokens: set[str]) -> dict[str, int]:
         """The count of each pre-token. The trie's nodes are the distinct prefixes, visited in order."""

@@ -1,14 +1,17 @@
 """WARC archives, and capture histories by an external merge of index runs.
 
 Records are written by Spark's own text writer, so archives can be in any store that Spark writes and a failed
-task's file never shows. Each archive read back gives a run of index entries, sorted where it was read; runs are
-dealt out by ranges of (URL key, time, id), and each range is merged from its runs by a loser tree.
+task's file never shows. Each archive is inflated record by record and gives a run of index entries, sorted where it
+was read. Runs are dealt out by ranges of (URL key, time, id, place), as many as keep a range at a bounded number of
+entries, however many captures a URL has; Spark's own sort, which spills, lays the parts of the runs out one after the
+other, and a loser tree merges each range from them.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import re
 from collections.abc import Iterator
 
@@ -24,6 +27,8 @@ NEWLINE = "\r\n"
 LEAST_BYTES = 100
 #: So many rows at most are broadcast when equal payloads are looked up; beyond it the lookup is a shuffle join.
 MOST_BROADCAST = 50_000
+#: About so many index entries make a range, which one task holds: more entries make more ranges.
+ENTRIES_PER_RANGE = 200_000
 
 
 class LoserTree:
@@ -99,10 +104,10 @@ def write_warc(pages: DataFrame, path: str, records_per_file: int = 4000) -> Non
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{NEWLINE}Content-Type: text/html; charset=utf-8{NEWLINE}Content-Length: "), F.col("payload_bytes"), F.lit(NEWLINE * 2))
     block = F.when(F.col("record_type") == "revisit", head).otherwise(F.concat(head, "html"))
     number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    uuid = F.regexp_replace(F.md5(F.concat_ws(":", F.lit("record"), number("page_id"), "payload_digest")), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5")
+    name_of = lambda c: F.concat(F.lit("<urn:uuid:"), F.regexp_replace(F.md5(F.concat_ws(":", F.lit("record"), number(c), "payload_digest")), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5"), F.lit(">"))
     fields = [
-        ("WARC-Type", F.col("record_type")), ("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), uuid, F.lit(">"))), ("WARC-Date", stamp), ("WARC-Target-URI", _header(F.col("url"))),
-        ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "payload_digest")), ("X-Page-ID", number("page_id")), ("X-Refers-To-Page-ID", number("refers_to")),
+        ("WARC-Type", F.col("record_type")), ("WARC-Record-ID", name_of("page_id")), ("WARC-Date", stamp), ("WARC-Target-URI", _header(F.col("url"))),
+        ("WARC-Refers-To", F.when(F.col("record_type") == "revisit", name_of("refers_to"))), ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "payload_digest")), ("X-Page-ID", number("page_id")), ("X-Refers-To-Page-ID", number("refers_to")),
         ("WARC-Profile", F.when(F.col("record_type") == "revisit", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("Content-Type", F.lit("application/http; msgtype=response")), ("Content-Length", F.octet_length("block").cast("string")),
     ]
     lines = [F.when(v.isNotNull(), F.concat(F.lit(f"{name}: "), v, F.lit(NEWLINE))).otherwise(F.lit("")) for name, v in fields]
@@ -111,25 +116,33 @@ def write_warc(pages: DataFrame, path: str, records_per_file: int = 4000) -> Non
 
 
 def parse_warc(data: bytes) -> Iterator[dict]:
-    """The records of one archive, by their content lengths. A response whose payload has another digest than it says is an error."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+    """The records of one archive, by their content lengths; of the inflated archive one record is in memory at a time.
+
+    A response whose payload has another digest than it says is an error, as is an archive that ends within a record.
+    """
+    stream = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
     at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].split(b"\r\n")
+    while version := stream.readline():
         if not version.startswith(b"WARC/"):
             raise ValueError(f"no record at byte {at}")
+        lines, read = [], len(version)
+        while (line := stream.readline()) != b"\r\n":
+            if not line:
+                raise ValueError(f"the record at byte {at} is cut off")
+            lines.append(line.removesuffix(b"\r\n"))
+            read += len(line)
         fields = {k.decode().lower(): v.decode() for k, _, v in (line.partition(b": ") for line in lines)}
         size = int(fields["content-length"])
-        block = data[end + 4 : end + 4 + size]
+        block = stream.read(size)
+        if len(block) < size:
+            raise ValueError(f"the record at byte {at} is cut off")
         head, _, payload = block.partition(b"\r\n\r\n")
         digest = fields["warc-payload-digest"].partition(":")[2]
         said = int(re.search(rb"\r\nContent-Length: (\d+)", head)[1])
         if fields["warc-type"] == "response" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != said):
             raise ValueError(f"the payload of the record at byte {at} is damaged")
         yield {"offset": at, "fields": fields, "payload": payload, "payload_bytes": said, "payload_digest": digest}
-        at = end + 4 + size + 4
+        at += read + 2 + size + len(stream.read(4))
 
 
 ENTRY = "url_key string, captured_at string, page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, archive string, offset bigint"
@@ -156,24 +169,21 @@ def index_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _order(entry: tuple) -> tuple:
-    return entry[0], entry[1], entry[2] is not None, entry[2] or 0
+    return entry[0], entry[1], entry[2] is not None, entry[2] or 0, entry[8], entry[9]
 
 
 def capture_histories(spark: SparkSession, path: str, ranges: int | None = None) -> DataFrame:
-    """All index entries in global order (URL key, time, id): partition after partition, each merged from its runs."""
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """All index entries in global order (URL key, time, id, place): partition after partition, each merged from its runs."""
+    entries = cut(index_runs(spark, path))
+    ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries.count() // ENTRIES_PER_RANGE))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs: dict[str, list[tuple]] = {}
         for batch in batches:
             for row in zip(*map(pa.Array.to_pylist, batch.columns), strict=True):
-                runs.setdefault(row[8], []).append(row)
-        for run in runs.values():
-            if any(a[10] > b[10] for a, b in zip(run[:-1], run[1:], strict=True)):  # the shuffle fetched parts of a run out of turn
-                run.sort(key=lambda r: r[10])
-        tree = LoserTree([[(_order(r), r) for r in run] for _, run in sorted(runs.items())])
+                runs.setdefault(row[8], []).append((_order(row), row))
         done: list[tuple] = []
-        for _, row in tree:
+        for _, row in LoserTree(list(runs.values())):
             done.append(row[:10])
             if len(done) == 5000:
                 yield batch_of(done)
@@ -185,8 +195,8 @@ def capture_histories(spark: SparkSession, path: str, ranges: int | None = None)
         kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], NAMES)
 
-    entries = cut(index_runs(spark, path))
-    return entries.repartitionByRange(ranges, "url_key", "captured_at", "page_id").mapInArrow(merge, ENTRY)
+    dealt = entries.repartitionByRange(ranges, "url_key", "captured_at", "page_id", "archive", "offset")
+    return dealt.sortWithinPartitions("archive", "seq").mapInArrow(merge, ENTRY)
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, mixing, pieces, quality, simhash, suffix_dedup, token_counts, toxicity, warc
+from . import chat, exact_dedup, lexical_search, mixing, packing, pieces, prefix_trie, quality, simhash, suffix_dedup, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat.op1_query,
@@ -19,10 +19,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality.op8_query,
     "op9_sentencepiece": pieces.op9_query,
     "op10_warc": warc.op10_query,
+    "op11_best_fit_packing": packing.op11_query,
+    "op12_ranked_search": lexical_search.op12_query,
+    "op13_prefix_trie": prefix_trie.op13_query,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": chat.OP1_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op7_source_mixing": mixing.OP7_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op12_ranked_search": lexical_search.OP12_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }

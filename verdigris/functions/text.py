@@ -31,8 +31,8 @@ HEADINGS = (
     r"(chapter|part|book)\s+[0-9ivxlcdm]+(?:\s*[：:._\-—]?\s*.{0,60})?",
 )
 SENTENCE_ENDS = "[。！？；.!?;]$"
-#: Texts of these characters alone are in NFKC: ASCII, accented Latin letters, Greek and Cyrillic ones, general dashes and quotes, CJK ideographs and their own punctuation.
-STABLE = r"^[\x00-\x7E¡-§©«¬®°±¶·»¿-įĴ-ľŁ-ňŊ-žΑ-Ωα-ρσ-ωА-я–—‘-”、。《-】一-龥]*$"
+#: Texts of these characters alone are in NFKC, and small letters are all that case folding makes of them (but for ß): ASCII, accented Latin letters, Greek and Cyrillic ones, general dashes and quotes, kana, Hangul syllables, CJK ideographs and their own punctuation, pictographs.
+STABLE = r"^[\x00-\x7E¡-§©«¬®°±¶·»¿-įĴ-ľŁ-ňŊ-žΑ-Ωα-ρσ-ωА-я–—‘-”、。《-】ぁ-ゔァ-ヺー가-힣一-龥\x{1F300}-\x{1F64F}\x{1F680}-\x{1F6C5}]*$"
 #: Characters that NFKC replaces by one other, and some of those that it replaces by several.
 SINGLE = {chr(c): n for c in range(0x80, 0xFFFE) if not 0xD800 <= c < 0xE000 and len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and n != chr(c)}
 SEVERAL = {c: unicodedata.normalize("NFKC", c) for c in "…‥ﬀﬁﬂﬃﬄﬅﬆ™½¼¾⅓⅔№℃℉㎏㎡㎝㎜㎞Ⅱ Ⅲ Ⅳ Ⅵ Ⅶ Ⅷ Ⅸ ⅱⅲⅳⅵⅶⅷⅸ①②③⑩⑪⑫".replace(" ", "") if len(unicodedata.normalize("NFKC", c)) > 1}
@@ -57,30 +57,48 @@ def clean_display(x: Column) -> Column:
     return F.array_join(F.filter(lines, lambda line: line != ""), "\n")
 
 
-def nfkc(x: Column) -> Column:
-    """NFKC but for rare ligatures and squared letters, and for marks that stand apart from their letters, in the JVM; ``nfkc_udf`` knows all of it."""
+def nfkc_characters(x: Column) -> Column:
+    """NFKC of each character by itself, but for rare ligatures and squared letters: for headings and names, inside of lambdas too."""
     out = F.translate(x, "".join(SINGLE), "".join(SINGLE.values()))
     for c, several in SEVERAL.items():
         out = F.replace(out, F.lit(c), F.lit(several))
     return F.when(F.rlike(x, F.lit(STABLE)), x).otherwise(out)
 
 
-def _folded(x: Column) -> Column:
+def folded(x: Column) -> Column:
+    """NFKC and case folding. Texts that are in NFKC as they are stay in the JVM; of the others alone the characters go through Arrow."""
+    stable = F.rlike(x, F.lit(STABLE))
+    return F.when(stable, _lowered(x)).otherwise(folded_udf(F.when(~stable, x)))
+
+
+def _lowered(x: Column) -> Column:
     return F.replace(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
 
 def normalize_search(x: Column) -> Column:
     """NFKC, case folding, no white space."""
-    return F.regexp_replace(_folded(nfkc(x)), "(?U)\\s+", "")
+    return F.regexp_replace(folded(x), "(?U)[\\s\\x1C-\\x1F]+", "")
 
 
 def strip_punctuation(x: Column) -> Column:
     return F.regexp_replace(x, "[\\p{P}\\p{S}]", "")
 
 
+def _letters_and_digits(x: Column) -> Column:
+    return F.regexp_replace(x, "[^\\p{L}\\p{N}]+", "")
+
+
 def normalize_key(x: Column) -> Column:
     """NFKC, case folding, letters and digits alone; null as empty."""
-    return F.regexp_replace(_folded(nfkc(F.coalesce(x, F.lit("")))), "[^\\p{L}\\p{N}]+", "")
+    return _letters_and_digits(folded(F.coalesce(x, F.lit(""))))
+
+
+def normalize_keys(xs: Column) -> Column:
+    """The keys of an array's texts."""
+    xs = F.transform(xs, lambda x: F.coalesce(x, F.lit("")))
+    stable = F.forall(xs, lambda x: F.rlike(x, F.lit(STABLE)))
+    texts = F.when(stable, F.transform(xs, _lowered)).otherwise(folded_all_udf(F.when(~stable, xs)))
+    return F.transform(texts, _letters_and_digits)
 
 
 def title_forms(title: Column) -> Column:
@@ -91,7 +109,7 @@ def title_forms(title: Column) -> Column:
 def authors_match(remote: Column, local: Column) -> Column:
     """Whether either key contains the other, for any local author; an empty name matches nothing."""
     r = normalize_key(remote)
-    return F.coalesce((r != "") & F.exists(F.transform(local, normalize_key), lambda a: (a != "") & (F.contains(r, a) | F.contains(a, r))), F.lit(False))
+    return F.coalesce((r != "") & F.exists(normalize_keys(local), lambda a: (a != "") & (F.contains(r, a) | F.contains(a, r))), F.lit(False))
 
 
 def isbn_digits(identifiers: Column) -> Column:
@@ -121,7 +139,7 @@ def contains_secret(x: Column) -> Column:
 
 def is_heading(x: Column) -> Column:
     """At most 100 characters, no tab, no sentence end, and one of the forms of a chapter heading, all in NFKC."""
-    t = F.trim(nfkc(x))
+    t = F.trim(nfkc_characters(x))
     forms = F.rlike(t, F.lit("(?i)^(?:" + "|".join(f"(?:{p})" for p in HEADINGS) + ")$"))
     return (F.length(t) <= 100) & (t != "") & ~F.contains(t, F.lit("\t")) & ~F.rlike(t, F.lit(SENTENCE_ENDS)) & forms
 
@@ -215,7 +233,7 @@ def claims_too_much(value: Column) -> Column:
 
 def file_component(x: Column) -> Column:
     """A name that can be part of a path: illegal characters become one ``-``, runs of blanks one space, at most 80 characters."""
-    out = F.regexp_replace(nfkc(x), r'[<>:"/\\|?*\x00-\x1F]+', "-")
+    out = F.regexp_replace(nfkc_characters(x), r'[<>:"/\\|?*\x00-\x1F]+', "-")
     return F.substring(F.regexp_replace(F.regexp_replace(out, "\\s+", " "), "^[ .-]+|[ .-]+$", ""), 1, 80)
 
 
@@ -262,6 +280,17 @@ def nfkc_udf(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else _nfkc(s))
 
 
+@F.pandas_udf(T.StringType())
+def folded_udf(x: pd.Series) -> pd.Series:
+    """NFKC, then case folding."""
+    return x.map(lambda s: None if s is None else _nfkc(s).casefold())
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def folded_all_udf(xs: pd.Series) -> pd.Series:
+    return xs.map(lambda a: None if a is None else [_nfkc(s).casefold() for s in a])
+
+
 @F.pandas_udf(T.StringType())
 def norm_search_udf(x: pd.Series) -> pd.Series:
     """NFKC, case folding, no white space."""

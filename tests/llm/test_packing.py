@@ -101,13 +101,22 @@ def test_all_pieces_are_the_tokenizers_and_stand_without_gaps(spark):
     assert len({r["sequence_id"] for r in rows}) == lower_bound(counts, 2048)
 
 
-@pytest.mark.parametrize("text", ["", " ", "a b", "a\x85b c", "Σ ΑΣ", "é é ́x", "<|endoftext|> x<|startoftext|>y", "it's  I'LL\tdon't\r\nno", "１２ ﬁ ㈱", "x" * 300, "\x1c\x1d a\x00b", "中文 字符 のが"])
+@pytest.mark.parametrize("text", ["", " ", "a b", "a\x85b c", "Σ ΑΣ", "é é ́x", "<|endoftext|> x<|startoftext|>y", "it's  I'LL\tdon't\r\nno", "１２ ﬁ ㈱", "x" * 300, "ÉCOLE École École, d'École. D'S", "Ⅻ İx ŉ ß ẞ", "e\u0301, E\u0301. \u0301,", "1. 2, a1; ½.", '").  A.B.C. "', "ªº µ ÿ aB cD", "<|endoftext|>, x<|startoftext|>.", "\x1c\x1d a\x00b", "中文 字符 のが"])
 def test_chunks_are_encoded_like_whole_texts(text):
     from tokenizers import Tokenizer
 
-    coder, tokenizer = packing.ChunkIds(packing.default_tokenizer(), most_kept=2), Tokenizer.from_file(packing.default_tokenizer())
-    for t in (text, f"{text} {text}\n{text}", f"word{text}"):
-        assert np.frombuffer(next(coder([t])), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    coder, tokenizer = packing.ChunkIds(packing.default_tokenizer(), most_kept=3), Tokenizer.from_file(packing.default_tokenizer())
+    for t in (text, f"{text} {text}\n{text}", f"word{text}", f"{text}, {text}. X{text}!"):
+        assert np.frombuffer(coder(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_another_tokenizer_is_asked_for_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coder, tokenizer = packing.ChunkIds(path), Tokenizer.from_file(path)
+    assert not coder.chunked and np.frombuffer(coder("two words,  and more\n"), "<u4").tolist() == tokenizer.encode("two words,  and more\n").ids
 
 
 def test_packing_edges(spark):

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,44 +25,69 @@ from .common import cut, text_or_empty
 CAPACITY = 2048
 #: Chunks longer than this are not kept in the table of chunks.
 LONGEST_KEPT = 64
+#: Marks that end a word, which they share no token with.
+ENDS = frozenset(".,;:!?")
 
 
-class ChunkIds:
-    """Packed ids (little-endian unsigned 32 bits) of whole texts, as the tokenizer gives them.
+#: What a byte-level vocabulary writes bytes as: printable Latin-1 characters as themselves, the others as those from U+0100 on, in order.
+SHOWN = {b: chr(b) for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
+SHOWN |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in SHOWN)}
 
-    The vocabulary drops white space before it splits, and nothing of it reaches over a space, a tab or a line end, so
-    what stands between those has the same ids everywhere: each such chunk is encoded once and kept.
+
+class ChunkIds(dict):
+    """Packed ids (little-endian unsigned 32 bits) of chunks, as the tokenizer gives them; called with a text, those of the whole text.
+
+    A vocabulary that drops white space has nothing that reaches over a space, a tab or a line end, so what stands
+    between those has the same ids everywhere: each such chunk is encoded once and kept. If it splits words from the
+    marks behind them and folds capitals, a word in other company needs no encoding of its own, and small Latin letters
+    go to the merges as they are. The table has two halves of bounded size: what is asked for again moves from the older
+    to the newer, and when that is full it becomes the older.
     """
 
-    def __init__(self, path: str, most_kept: int = 500_000):
+    def __init__(self, path: str, most_kept: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most_kept = Tokenizer.from_file(path), most_kept
-        self.table: dict[str, bytes] = {"": b""}
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        if len(self.table) > self.most_kept:  # only a cache
-            self.table = {"": b""}
-        new = list(set().union(*split).difference(self.table))
-        found = [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-        table = self.table | dict(zip(new, found, strict=True)) if any(len(c) > LONGEST_KEPT for c in new) else self.table
-        self.table.update((c, ids) for c, ids in zip(new, found, strict=True) if len(c) <= LONGEST_KEPT)
-        for chunks in split:
-            yield b"".join(map(table.__getitem__, chunks))
-
-
-def _runs(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about so many characters together, and where each begins."""
-    at = held = 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= chars:
-            yield at, texts[at : i + 1]
-            at, held = i + 1, 0
-    if at < len(texts):
-        yield at, texts[at:]
+        self.older: dict[str, bytes] = {}
+        self[""] = b""
+        said = lambda *parts: [i for p in parts for i in self.tokenizer.encode(p, add_special_tokens=False).ids]
+        self.chunked = said("Two wörds, here.\n\tNext  one ") == said("Two", "wörds,", "here.", "Next", "one")
+        self.simple = said("Éa, b.", "abc1.", "zürichàñß") == said("éa", ",", "b", ".", "abc1", ".") + self._merged("zürichàñß")
+
+    def _merged(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(SHOWN))]
+
+    def __missing__(self, chunk: str) -> bytes:
+        latin = self.simple and max(chunk) < "\u0130"  # below, a small letter is what it is in any company
+        if latin and (small := chunk.lower()) != chunk:
+            again, ids = small in self, self[small]
+        elif self.simple and chunk[-1] in ENDS and chunk[-2:-1].isalnum():
+            again, ids = chunk[:-1] in self, self[chunk[:-1]] + self[chunk[-1]]
+        else:
+            again, ids = True, self.older.get(chunk)
+            if ids is None:
+                ids = array("I", self._merged(chunk) if latin and chunk.isalpha() else self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        if again and len(chunk) <= LONGEST_KEPT:  # a word that came once has no other forms in the table
+            if len(self) >= self.most_kept:
+                self.older = dict(self)
+                self.clear()
+                self[""] = b""
+            self[chunk] = ids
+        return ids
+
+    def __call__(self, text: str) -> bytes:
+        if not self.chunked:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
+
+
+_CODERS: dict[str, ChunkIds] = {}
+
+
+def coder_of(path: str) -> ChunkIds:
+    """The tables of this worker, which its next task goes on with."""
+    return _CODERS.get(path) or _CODERS.setdefault(path, ChunkIds(path))
 
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -71,13 +97,13 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, en
     outputs = ", ids array<int>" if with_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, seen = ChunkIds(tokenizer_path), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        coder, part, seen = coder_of(tokenizer_path), TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for begins, texts in _runs(batch.column(1).to_pylist()):
+            for begins in range(0, batch.num_rows, 500):
                 at, piece, start, length, crc, nth, ids = [], [], [], [], [], [], []
-                for i, data in enumerate(coder(texts)):
-                    data += end
+                for i, text in enumerate(batch.column(1).slice(begins, 500)):
+                    data = coder(text.as_py()) + end
                     for k, s in enumerate(range(0, len(data), 4 * capacity)):
                         own = data[s : s + 4 * capacity]
                         n = len(own) // 4

@@ -71,13 +71,27 @@ def test_empty_tables(spark):
 
 
 def test_far_shards_are_not_visited(spark, monkeypatch):
-    docs = [(i, f"t{i % 8} " * 3 + f"t{i % 8}x") for i in range(160)] + [(1000 + i, "needle thread " * 4) for i in range(12)]
-    seen = []
+    """Bounds keep an item away from shards without anything near its tenth score; its first visits are single shards."""
+    docs = [(i, f"t{i % 8} " * 3 + f"t{i % 8}x") for i in range(160)] + [(1000 + i, "needle thread " * 4) for i in range(12)] + [(2000, "needle")]
+    asked = []
     real = lexical_search._visit
-    monkeypatch.setattr(lexical_search, "_visit", lambda index, visits, k: (seen.append((visits.count(), index.count())), real(index, visits, k))[1])
+    monkeypatch.setattr(lexical_search, "_visit", lambda index, items, k: (asked.append((index, items)), real(index, items, k))[1])
     monkeypatch.setattr(lexical_search, "DEPTH", 3)
-    assert found(spark, docs, [(1, "needle thread")], shard=20) == plain(docs, [(1, "needle thread")])
-    assert sum(v for v, _ in seen) < seen[0][1] / 2
+    assert found(spark, docs, [(1, "needle thread"), (2, "t1")], shard=20) == plain(docs, [(1, "needle thread"), (2, "t1")])
+    index = asked[0][0].select("terms", "most").collect()
+    visited = 0
+    for _, items in asked:
+        for _, terms, weights, _, low, high in items:
+            bounds = [sum(w * dict(zip(r["terms"], r["most"], strict=True)).get(t, 0) for t, w in zip(terms, weights, strict=True)) for r in index]
+            visited += sum(max(low, 1) <= b < high for b in bounds)
+    assert len(asked) <= 3 and visited < len(index)  # two items over all shards would be twice as many
+
+
+def test_blocks_of_items_find_what_all_at_once_find(spark, monkeypatch):
+    docs = [(i, f"w{i % 7} w{i % 5} w{i % 3}") for i in range(60)]
+    items = [(i, f"w{i % 7} w{i % 4}") for i in range(9)]
+    monkeypatch.setattr(lexical_search, "TERMS_AT_ONCE", 4)
+    assert found(spark, docs, items, shard=8) == plain(docs, items)
 
 
 def test_bisection_brings_documents_of_shared_terms_together():

@@ -1,10 +1,11 @@
 """Ranked lexical search through an index of documents clustered by recursive graph bisection.
 
 Documents are reordered so that those which share terms stand together, and cut into shards. A shard is one row: its
-documents, its terms with their postings, and the largest weight that a term has in it. The sum of those for an item's
-terms bounds every score in the shard. An item visits shards by that bound, ever more at a time, until its tenth score
-exceeds the bounds of all that are left: then no document there can be among its best, and the search has ended
-exactly. Ties are decided by ``doc_id``, whatever the order of the documents in the index.
+documents, its terms with their postings, and the largest impact that a term has in it. The sum of those for an item's
+terms, each by its weight, bounds every score in the shard. An item visits the shard of the highest bound, then some
+more, then all whose bound its tenth score does not exceed: no document elsewhere can be among its best, so the search
+ends exactly. Items are searched in blocks of a bounded number of terms, which go to every task; the index never moves.
+Ties are decided by ``doc_id``, whatever the order of the documents in the index.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ MOST_FITTED, HASHED_TERMS, DEPTH = 4096, 2048, 5
 SHARD = 2048
 #: Bitmaps of the terms that are asked for, 4 KB each: 2 MB, however many they are.
 BITMAPS = 512
-#: Items that one task scores against a shard at once.
-ITEMS_AT_ONCE = 1000
+#: About so many terms of items are searched at once: a block, which is sent to every task.
+TERMS_AT_ONCE = 100_000
+#: An item visits so many shards, by their bounds, before it visits all that can still matter.
+FIRST_VISITS = (1, 6)
 SCALE = 1_000_000_000
 #: Every ASCII character that is no part of a term as a space, capital letters as small ones.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -160,44 +163,111 @@ def _weight(df: Column, n_docs: int) -> Column:
     return F.floor(1000 * F.log((F.lit(2.0 * n_docs) + 2.0) / (2.0 * df + 1.0))).cast("bigint")
 
 
-def _visit(index: DataFrame, visits: DataFrame, k: int) -> DataFrame:
-    """``item, doc_id, score`` of the best ``k`` of each visit that do not score under what the item already has (``floor``)."""
-    ids = index.schema["ids"].dataType.elementType.simpleString()
-    batches = visits.withColumn("batch", F.floor(F.col("item_number") / ITEMS_AT_ONCE))
-    wanted = batches.select(F.col("shard").alias("of_shard"), F.col("batch").alias("of_batch")).distinct()
-    rows = index.join(wanted, F.col("shard") == F.col("of_shard")).drop("shard")
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        items, scores, found = [], [], []
-        doc_ids: pa.Array = None
-        if left.num_rows and right.num_rows:
-            one = {c: left.column(c).chunk(0).slice(0, 1).flatten() for c in ("ids", "terms", "starts", "documents", "impacts")}
-            doc_ids = one["ids"]
-            place = {t: i for i, t in enumerate(one["terms"].to_pylist())}
-            starts, documents, impacts = (one[c].to_numpy() for c in ("starts", "documents", "impacts"))
-            key = doc_ids.to_numpy(zero_copy_only=False) if not doc_ids.null_count else None
-            for item, terms, weights, floor in zip(*(right.column(c).to_pylist() for c in ("item", "terms", "weights", "floor")), strict=True):
-                total = np.zeros(len(doc_ids), dtype=np.int64)
-                for t, w in zip(terms, weights, strict=True):
-                    if (at := place.get(t)) is not None:
-                        a, b = starts[at], starts[at + 1]
-                        total[documents[a:b]] += w * impacts[a:b].astype(np.int64)
-                good = np.flatnonzero(total >= max(floor, 1))
-                if len(good) > k:
-                    tenth = np.partition(total[good], len(good) - k)[len(good) - k]
-                    good = good[total[good] >= tenth]
-                    rank = np.lexsort((key[good] if key is not None else good, -total[good]))
-                    good = good[rank[:k]] if key is not None else good  # with null ids ties are left to the merge
-                items += [item] * len(good)
-                found += good.tolist()
-                scores += total[good].tolist()
-        kept = doc_ids.take(pa.array(found, pa.int64())) if found else pa.array([], left.schema.field("ids").type.value_type)
-        return pa.table({"item": pa.array(items, pa.int64()), "doc_id": kept, "score": pa.array(scores, pa.int64())})
-
-    return rows.groupBy("of_shard", "of_batch").cogroup(batches.groupBy("shard", "batch")).applyInArrow(score, f"item bigint, doc_id {ids}, score bigint")
-
-
-def search(docs: DataFrame, items: DataFrame, k: int = 10, shard: int = SHARD, first_visits: int = 1) -> DataFrame:
+class _Shard:
+    """One row of the index."""
+
+    def __init__(self, batch: pa.RecordBatch, at: int):
+        one = {c: batch.column(c).slice(at, 1).flatten() for c in ("ids", "terms", "starts", "documents", "impacts", "most")}
+        self.ids = one["ids"]
+        self.place = {t: i for i, t in enumerate(one["terms"].to_pylist())}
+        self.starts, self.documents, self.impacts, self.most = (one[c].to_numpy() for c in ("starts", "documents", "impacts", "most"))
+        self.order = None if self.ids.null_count else self.ids.to_numpy()
+
+    def found(self, terms: list[str], weights: list[int]) -> list[tuple[int, int]]:
+        return [(at, w) for t, w in zip(terms, weights, strict=True) if (at := self.place.get(t)) is not None]
+
+    def bound(self, held: list[tuple[int, int]]) -> int:
+        return sum(w * int(self.most[at]) for at, w in held)
+
+    def best(self, held: list[tuple[int, int]], floor: int, k: int) -> tuple[list[int], list[int]]:
+        """Places and scores of the shard's ``k`` best documents that do not score under ``floor``; more than ``k`` only where ids are null, whose ties wait for the merge."""
+        total = np.zeros(len(self.ids), dtype=np.int64)
+        for at, w in held:
+            a, b = self.starts[at], self.starts[at + 1]
+            total[self.documents[a:b]] += w * self.impacts[a:b].astype(np.int64)
+        good = np.flatnonzero(total >= max(floor, 1))
+        if len(good) > k:
+            good = good[total[good] >= np.partition(total[good], len(good) - k)[len(good) - k]]
+            if self.order is not None:
+                good = good[np.lexsort((self.order[good], -total[good]))[:k]]
+        return good.tolist(), total[good].tolist()
+
+
+def _bounds(index: DataFrame, items: list[tuple], keep: int) -> DataFrame:
+    """``item, bound``: each task's ``keep`` highest bounds of an item."""
+    shared = index.sparkSession.sparkContext.broadcast([x[:3] for x in items])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        highest: dict[int, list[int]] = {}
+        for batch in batches:
+            for at in range(batch.num_rows):
+                place = {t: i for i, t in enumerate(batch.column("terms").slice(at, 1).flatten().to_pylist())}
+                most = batch.column("most").slice(at, 1).flatten().to_numpy()
+                for item, terms, weights in shared.value:
+                    bound = sum(w * int(most[i]) for t, w in zip(terms, weights, strict=True) if (i := place.get(t)) is not None)
+                    if bound:
+                        own = highest.setdefault(item, [])
+                        own.append(bound)
+                        if len(own) > 4 * keep:
+                            highest[item] = sorted(own)[-keep:]
+        rows = [(item, b) for item, own in highest.items() for b in sorted(own)[-keep:]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["item", "bound"])
+
+    return index.select("terms", "most").mapInArrow(run, "item bigint, bound bigint")
+
+
+def _visit(index: DataFrame, items: list[tuple], k: int) -> DataFrame:
+    """``item, doc_id, score`` of the best ``k`` in each shard that an item visits: whose bound is from ``low`` to under ``high``. ``items`` are ``item, terms, weights, floor, low, high``."""
+    shared = index.sparkSession.sparkContext.broadcast(items)
+    kind = index.schema["ids"].dataType.elementType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                shard = _Shard(batch, at)
+                asking, places, scores = [], [], []
+                for item, terms, weights, floor, low, high in shared.value:
+                    held = shard.found(terms, weights)
+                    if held and low <= shard.bound(held) < high:
+                        where, what = shard.best(held, floor, k)
+                        asking += [item] * len(where)
+                        places += where
+                        scores += what
+                yield pa.RecordBatch.from_arrays([pa.array(asking, pa.int64()), shard.ids.take(pa.array(places, pa.int64())), pa.array(scores, pa.int64())], ["item", "doc_id", "score"])
+
+    return index.drop("shard").mapInArrow(run, f"item bigint, doc_id {kind}, score bigint")
+
+
+def _order() -> Window:
+    return Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))
+
+
+def _searched(index: DataFrame, items: list[tuple], k: int) -> DataFrame:
+    """``item, doc_id, score, rank`` for one block of items, ``item, terms, weights``."""
+    highest = _bounds(index, items, FIRST_VISITS[-1]).withColumn("n", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("bound"))))
+    marks: dict[int, dict[int, int]] = {}
+    for item, bound, n in highest.where(F.col("n").isin(*FIRST_VISITS)).collect():  # a few numbers an item of the block
+        marks.setdefault(item, {})[n] = bound
+    best = index.sparkSession.createDataFrame([], f"item bigint, doc_id {index.schema['ids'].dataType.elementType.simpleString()}, score bigint")
+    floors: dict[int, int] = {}
+    above = dict.fromkeys(marks, 1 << 62)
+    for n in (*FIRST_VISITS, None):
+        asked = []
+        for item, terms, weights in items:
+            if item in marks:
+                floor = floors.get(item, 0)
+                low = max(floor, marks[item].get(n, 0) if n else 0)
+                if low < above[item]:
+                    asked.append((item, terms, weights, floor, low, above[item]))
+                    above[item] = low
+        if not asked:
+            continue
+        best = cut(best.unionByName(_visit(index, asked, k)).withColumn("rank", F.row_number().over(_order())).where(F.col("rank") <= k).drop("rank"))
+        floors = dict(best.groupBy("item").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k).select("item", "floor").collect())
+    return best
+
+
+def search(docs: DataFrame, items: DataFrame, k: int = 10, shard: int = SHARD) -> DataFrame:
     """Each item's ``k`` best documents with a score above 0: ``item_id, rank, doc_id, score``.
 
     ``docs`` has ``doc_id, text``, ``items`` has ``item_id, text``. Equal scores rank by ascending ``doc_id``, null
@@ -208,36 +278,22 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, shard: int = SHARD, f
     spark = docs.sparkSession
     asked_items = cut(items.select("item_id", "text", F.monotonically_increasing_id().alias("item")))
     asked = cut(asked_terms(asked_items))
-    rows = cut(_documents(docs, _bitmap(asked)))
+    said, path = shared_folder(spark, "lexical-terms"), shared_folder(spark, "lexical-index")
+    _documents(docs, _bitmap(asked)).write.parquet(said)
+    rows = spark.read.parquet(said)
     n_docs, n_terms = rows.agg(F.count(F.when(F.col("n") > 0, 1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     df = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    weighted = asked.join(df, "term").select("item", "term", _weight(F.col("df"), n_docs).alias("w"))
-    weighted = cut(weighted.where("w > 0"))
-
-    path = shared_folder(spark, "lexical-index")
+    weighted = cut(asked.join(df, "term").select("item", "term", _weight(F.col("df"), n_docs).alias("w")).where("w > 0"))
     _shards(_clustered(rows), n_docs, max(n_terms, 1), shard).write.parquet(path)
     index = spark.read.parquet(path)
-    most = index.select("shard", F.explode(F.arrays_zip("terms", "most")).alias("x")).select("shard", F.col("x.terms").alias("term"), F.col("x.most").alias("most"))
-    bounds = weighted.join(most, "term").groupBy("item", "shard").agg(F.sum(F.col("w") * F.col("most")).alias("bound"))
-    bounds = bounds.withColumn("place", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("bound"), "shard")))
-    bounds = cut(bounds)
-    numbers = weighted.groupBy("item").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("weights"))
-    numbers = cut(numbers.withColumn("item_number", F.pmod(F.xxhash64("item"), F.lit(1 << 40))))
-
-    best = cut(spark.createDataFrame([], f"item bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, score bigint"))
-    low, high = 0, first_visits
-    while True:
-        floors = best.groupBy("item").agg(F.count("*").alias("held"), F.min("score").alias("least")).where(F.col("held") >= k).select("item", "least")
-        open_ = bounds.where(F.col("place") > low).join(floors, "item", "left").withColumn("floor", F.coalesce("least", F.lit(0))).where(F.col("bound") >= F.col("floor"))
-        visits = cut(open_.where(F.col("place") <= high).join(numbers, "item").select("shard", "item", "item_number", "terms", "weights", "floor"))
-        if visits.isEmpty():  # bounds fall from place to place: none here, none behind
-            break
-        every = best.unionByName(_visit(index, visits, k))
-        order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))
-        best = cut(every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"))
-        low, high = high, 4 * high + 1
-    order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))
-    return best.withColumn("rank", F.row_number().over(order)).join(asked_items.select("item", "item_id"), "item").select("item_id", "rank", "doc_id", "score")
+
+    blocks = max(1, -(-weighted.count() // TERMS_AT_ONCE))
+    lists = cut(weighted.groupBy("item").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("weights")).withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks))))
+    found = [_searched(index, [tuple(r) for r in lists.where(F.col("block") == b).drop("block").collect()], k) for b in range(blocks)]
+    best = found[0]
+    for more in found[1:]:
+        best = best.unionByName(more)
+    return best.withColumn("rank", F.row_number().over(_order())).join(asked_items.select("item", "item_id"), "item").select("item_id", "rank", "doc_id", "score")
 
 
 def op12_query(spark, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as X
+from .grams import gram_hits
 
 GRAM = 6
 #: Quotes up to so many characters together are sent to every task.
@@ -23,15 +24,12 @@ def quote_hits(quotes: DataFrame, paras: DataFrame, most_chars: int = MOST_CHARS
     """``item_id, locator``: paragraphs whose normalised text contains the normalised quote, each pair once.
 
     Quotes of at most ``most_chars`` characters together go to every task, which reads its paragraphs once: nothing
-    is shuffled. Beyond that bound both sides meet by grams, except for quotes shorter than a gram.
+    is shuffled. Beyond that bound both sides meet by grams.
     """
     q = quotes.select("item_id", X.normalize_search(F.col("text")).alias("quote")).where(F.length("quote") > 0)
     p = paras.select("locator", X.normalize_search(F.col("text")).alias("norm")).where(F.length("norm") > 0)
     chars = q.agg(F.sum(F.length("quote"))).first()[0] or 0
-    if chars <= most_chars:
-        return _hits_by_scan(q, p)
-    short, long = F.length("quote") < GRAM, F.length("quote") >= GRAM
-    return _hits_by_gram(q.where(long), p.where(F.length("norm") >= GRAM)).unionByName(_hits_by_scan(q.where(short), p))
+    return _hits_by_scan(q, p) if chars <= most_chars else _hits_by_gram(q, p)
 
 
 def _hits_by_scan(q: DataFrame, p: DataFrame) -> DataFrame:
@@ -62,21 +60,10 @@ def _hits_by_scan(q: DataFrame, p: DataFrame) -> DataFrame:
 
 
 def _hits_by_gram(q: DataFrame, p: DataFrame) -> DataFrame:
-    """Every quote is looked up by its rarest gram, so that a gram which most texts have is not what the join runs on.
-
-    A gram's row is a place and a number; texts are joined back to the few places that are left.
-    """
-    asked = q.select("item_id", "quote", F.explode(_grams("quote")).alias("gram"))
-    held = p.select("locator", F.explode(F.array_distinct(_grams("norm"))).alias("gram"))
-    counts = held.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = asked.join(counts, "gram", "left").groupBy("item_id", "quote").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    places = held.join(rarest, "gram").select("locator", "item_id", "quote")
-    return places.join(p, "locator").where(F.contains("norm", "quote")).select("item_id", "locator").distinct()
-
-
-def _grams(name: str, width: int = GRAM):
-    """The hashes of the text's windows of so many characters."""
-    return F.transform(F.sequence(F.lit(1), F.length(name) - width + 1), lambda i: F.xxhash64(F.substr(F.col(name), i, F.lit(width))))
+    """All texts are one book here."""
+    items = q.withColumns({"target": F.sha2("quote", 256), "seed": F.lit(0)})
+    targets = items.groupBy("target").agg(F.first("seed").alias("seed"), F.first("quote").alias("norm"))
+    return gram_hits(targets, p.withColumn("seed", F.lit(0))).join(items.select("target", "item_id"), "target").select("item_id", "locator").distinct()
 
 
 def quote_status(quotes: DataFrame, paras: DataFrame) -> DataFrame:
@@ -111,47 +98,52 @@ def _common(letters: dict[str, int], size: int, text: str) -> int:
     return size - free.bit_count()
 
 
-def _similar(p: DataFrame, kind, quotes: list[tuple], admit: float) -> DataFrame:
-    """``item_id, locator, raw``: all pairs whose best window has a ratio of ``admit`` or more.
+def similar_windows(quotes: list[tuple], texts: list[str], admit: float) -> list[tuple]:
+    """``item, i, raw`` for all pairs of a quote (item and text) and the i-th text whose best window has a ratio of ``admit`` or more.
 
     A ratio of r over s characters (quote and window) has r*s/2 matched ones in at most (1-r)*s+1 blocks, since
     an unmatched character stands between two blocks. A block of n has n-2 windows of three, so either side has
     at least (2.5*r-2)*s-2 places whose window of three is in the other. Fewer cannot reach r. What is matched is a
     common subsequence too, so neither can a text, or a window, whose longest one is shorter than r*s/2.
     """
+    grams = [_trigrams(q) for _, q in quotes]
+    own = [np.unique(g) for g in grams]
+    lengths = np.array([len(q) for _, q in quotes], np.int64)
+    letters = [_letters(q) for _, q in quotes]
+    flat, owner = np.concatenate([*grams, np.zeros(0, np.int64)]), np.repeat(np.arange(len(quotes)), [len(g) for g in grams])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    out = []
+    for i, t in enumerate(texts):
+        held = _trigrams(t)
+        seen = np.unique(held)
+        low, high = np.searchsorted(flat, seen), np.searchsorted(flat, seen, "right")
+        n = high - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(owner[at], minlength=len(quotes))
+        widths = np.minimum(len(t), lengths + np.maximum(4, lengths // 5))
+        least = np.ceil((2.5 * admit - 2) * (lengths + widths) - 2 - 1e-6)
+        for k in np.flatnonzero((shared >= least) & (2 * np.minimum(lengths, widths) >= (admit - 1e-9) * (lengths + widths))):
+            width, q = int(widths[k]), quotes[k][1]
+            need = (admit - 1e-9) * (len(q) + width) / 2
+            if _common(letters[k], len(q), t) < need:
+                continue
+            starts = np.array(sorted({*range(0, len(t) - width + 1, max(1, len(q) // 6)), len(t) - width}))
+            upto = np.r_[0, np.cumsum(np.isin(held, own[k]))]
+            can = starts[upto[starts + max(0, width - 2)] - upto[starts] >= least[k]] if len(held) else starts
+            raw = max((SequenceMatcher(None, q, t[s : s + width]).ratio() for s in can.tolist() if _common(letters[k], len(q), t[s : s + width]) >= need), default=0.0)
+            if raw >= admit:
+                out.append((quotes[k][0], i, raw))
+    return out
+
+
+def _similar(p: DataFrame, kind, quotes: list[tuple], admit: float) -> DataFrame:
+    """``item_id, locator, raw``: all similar pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = [_trigrams(q) for _, q in quotes]
-        own = [np.unique(g) for g in grams]
-        lengths = np.array([len(q) for _, q in quotes], np.int64)
-        letters = [_letters(q) for _, q in quotes]
-        flat, owner = np.concatenate([*grams, np.zeros(0, np.int64)]), np.repeat(np.arange(len(quotes)), [len(g) for g in grams])
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
         for batch in batches:
-            items, places, raws = [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                held = _trigrams(t)
-                seen = np.unique(held)
-                low, high = np.searchsorted(flat, seen), np.searchsorted(flat, seen, "right")
-                n = high - low
-                at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-                shared = np.bincount(owner[at], minlength=len(quotes))
-                widths = np.minimum(len(t), lengths + np.maximum(4, lengths // 5))
-                least = np.ceil((2.5 * admit - 2) * (lengths + widths) - 2 - 1e-6)
-                for k in np.flatnonzero((shared >= least) & (2 * np.minimum(lengths, widths) >= (admit - 1e-9) * (lengths + widths))):
-                    width, q = int(widths[k]), quotes[k][1]
-                    need = (admit - 1e-9) * (len(q) + width) / 2
-                    if _common(letters[k], len(q), t) < need:
-                        continue
-                    starts = np.array(sorted({*range(0, len(t) - width + 1, max(1, len(q) // 6)), len(t) - width}))
-                    upto = np.r_[0, np.cumsum(np.isin(held, own[k]))]
-                    can = starts[upto[starts + max(0, width - 2)] - upto[starts] >= least[k]] if len(held) else starts
-                    raw = max((SequenceMatcher(None, q, t[s : s + width]).ratio() for s in can.tolist() if _common(letters[k], len(q), t[s : s + width]) >= need), default=0.0)
-                    if raw >= admit:
-                        items.append(quotes[k][0])
-                        places.append(i)
-                        raws.append(raw)
+            found = similar_windows(quotes, batch.column(1).to_pylist(), admit)
+            items, places, raws = ([f[i] for f in found] for i in range(3))
             yield pa.RecordBatch.from_pydict({"item_id": pa.array(items, to_arrow_type(kind)), "locator": batch.column(0).take(pa.array(places, pa.int64())), "raw": pa.array(raws, pa.float64())})
 
     return p.select("locator", "norm").mapInArrow(run, f"item_id {kind.simpleString()}, locator string, raw double")
@@ -172,8 +164,10 @@ def quote_fuzzy(quotes: DataFrame, paras: DataFrame, admit: float = 0.88, accept
             chars = len(r["quote"])
         blocks[-1].append((r["item_id"], r["quote"]))
     scored = reduce(DataFrame.unionByName, [_similar(p, q.schema["item_id"].dataType, some, admit) for some in blocks]).distinct()
-    order = Window.partitionBy("item_id").orderBy(F.desc("raw"), "locator")
-    ranked = scored.select("item_id", "locator", F.bround("raw", 4).alias("score"), F.row_number().over(order).alias("rank"), F.lead("raw").over(order).alias("next"))
+    # Scores are rounded before they are compared; of equal ones the earlier place is the better.
+    order = Window.partitionBy("item_id").orderBy(F.desc("score"), "locator")
+    rounded = scored.select("item_id", "locator", F.bround("raw", 4).alias("score"))
+    ranked = rounded.select("*", F.row_number().over(order).alias("rank"), F.lead("score").over(order).alias("next"))
     won = (F.col("rank") == 1) & (F.col("score") >= accept) & (F.col("score") - F.coalesce("next", F.lit(0.0)) >= lead)
     return ranked.where(F.col("rank") <= kept).select("item_id", "locator", "score", "rank", won.alias("accepted"))
 

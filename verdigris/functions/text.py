@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -108,8 +109,9 @@ def title_forms(title: Column) -> Column:
 
 def authors_match(remote: Column, local: Column) -> Column:
     """Whether either key contains the other, for any local author; an empty name matches nothing."""
-    r = normalize_key(remote)
-    return F.coalesce((r != "") & F.exists(normalize_keys(local), lambda a: (a != "") & (F.contains(r, a) | F.contains(a, r))), F.lit(False))
+    r, keys = normalize_key(remote), normalize_keys(local)
+    either = F.zip_with(keys, F.array_repeat(r, F.size(keys)), lambda a, b: (a != "") & (F.contains(b, a) | F.contains(a, b)))
+    return F.coalesce((r != "") & F.array_contains(either, True), F.lit(False))
 
 
 def isbn_digits(identifiers: Column) -> Column:
@@ -260,11 +262,12 @@ def markdown_sections(x: Column) -> Column:
     return F.map_from_entries(F.transform(parts, lambda part: F.struct(F.trim(F.substring_index(part, "\n", 1)).alias("title"), values(body(part)).alias("items"))))
 
 
-def topic_score(topic: Column, text: Column) -> Column:
+def topic_score(topic: str, text: Column) -> Column:
     """4 for the whole query, 1 for each of its distinct bigrams, by containment."""
-    q, t = normalize_search(topic), normalize_search(text)
-    grams = F.when(F.length(q) > 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(q) - 1), lambda i: F.substr(q, i, F.lit(2))))).otherwise(F.expr("cast(array() as array<string>)"))
-    return F.when(F.contains(t, q) & (q != ""), 4).otherwise(0) + F.size(F.filter(grams, lambda g: F.contains(t, g)))
+    q, t = "".join(_nfkc(topic).casefold().split()), normalize_search(text)
+    grams = dict.fromkeys(q[i : i + 2] for i in range(len(q) - 1)) if len(q) > 2 else {}
+    score = F.when(F.contains(t, F.lit(q)), 4).otherwise(0) if q else F.lit(0)
+    return reduce(lambda n, g: n + F.contains(t, F.lit(g)).cast("int"), grams, score)
 
 
 def usable_text(x: Column) -> Column:

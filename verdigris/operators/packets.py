@@ -87,7 +87,7 @@ def guide(paras: DataFrame, topic: str, limit: int = 3) -> DataFrame:
     """``locator, score``: the paragraphs nearest to a topic, in reading order where they score alike; 1 to 10."""
     if not 1 <= limit <= 10:
         raise ValueError("a guide has 1 to 10 places")
-    scored = paras.select("doc_id", "chapter", "paragraph_index", "locator", X.topic_score(F.lit(topic), F.col("text")).alias("score"))
+    scored = paras.select("doc_id", "chapter", "paragraph_index", "locator", X.topic_score(topic, F.col("text")).alias("score"))
     return scored.orderBy(F.desc("score"), "doc_id", "chapter", "paragraph_index").limit(limit).select("locator", "score")
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.shared import stored
 
 #: What entries without a title are called.
 NO_TITLE = {"book": "未命名书籍", "album": "未命名专辑", "mp": "文章收藏"}
@@ -54,27 +57,48 @@ def direct_links(shelf: DataFrame, local: DataFrame) -> DataFrame:
     return joined.select("item_id", F.when(F.col("n") == 1, F.col("stable_id")).alias("stable_id"), F.when(F.col("n") > 1, "several-locals").alias("problem"))
 
 
-def candidate_links(shelf: DataFrame, local: DataFrame, used: DataFrame) -> DataFrame:
-    """``item_id, stable_id, basis``: shelf books with exactly one local of equal title (or base title) and a matching author.
+def candidate_links(shelf: DataFrame, local: DataFrame, direct: DataFrame) -> DataFrame:
+    """``item_id, stable_id, basis``: shelf books without a direct link, taken in shelf order: a book that just one free local of equal title (or base title) and a matching author fits gets it, and that local is free no more.
+
+    A local is free until a book before has got it, by a direct link (``direct``: ``item_id, stable_id``) or by this
+    rule. Locals without id or in error take no part.
 
-    Locals without id, in error, or ``used`` by a direct link take no part. Of several books that want one local the
-    first on the shelf gets it, and the others none.
+    Shelf order is kept without walking the shelf. In a round all books decide that can: one with a single free local
+    for which it is the first takes it; one that is the first for all its several locals gets none; and so do all books
+    that fit the same locals if two of those fit no other book, for then neither of the two can ever be the only one
+    left. So books of one much used title are done in one round, and rounds are as many as choices truly wait on each
+    other.
     """
-    free = local.where("stable_id is not null and text_status <> 'error'").join(used.select("stable_id"), "stable_id", "left_anti")
+    free = local.where("stable_id is not null and text_status <> 'error'")
     full = X.normalize_key(F.col("title"))
     forms = free.select("stable_id", "authors", full.alias("full"), F.explode(X.title_forms(F.col("title"))).alias("key"))
-    wanted = shelf.where("kind = 'book'").select("item_id", "shelf_order", "author", full.alias("key"))
-    pairs = wanted.where("key <> ''").join(forms, "key").where(X.authors_match(F.col("author"), F.col("authors")))
-    one = pairs.groupBy("item_id", "shelf_order").agg(F.min("stable_id").alias("stable_id"), F.max("stable_id").alias("other"), F.max(F.col("key") == F.col("full")).alias("whole")).where("stable_id = other")
-    first = F.row_number().over(Window.partitionBy("stable_id").orderBy("shelf_order", "item_id"))
-    return one.withColumn("n", first).where("n = 1").select("item_id", "stable_id", F.when(F.col("whole"), "exact-title-author").otherwise("base-title-author").alias("basis"))
+    books, direct = shelf.where("kind = 'book'"), direct.where("stable_id is not null")
+    taken_at = books.join(direct, "item_id").groupBy("stable_id").agg(F.min("shelf_order").alias("taken_at"))
+    wanted = books.join(direct.select("item_id").distinct(), "item_id", "left_anti").select("item_id", "shelf_order", "author", full.alias("key")).where("key <> ''")
+    pairs = wanted.join(forms, "key").where(X.authors_match(F.col("author"), F.col("authors"))).join(taken_at, "stable_id", "left").where("taken_at is null or shelf_order < taken_at")
+    place = F.struct("shelf_order", "item_id").alias("place")
+    left = stored(pairs.groupBy("item_id", "shelf_order", "stable_id").agg(F.max(F.col("key") == F.col("full")).alias("whole")).select(place, "stable_id", "whole"), "wanted-locals")
+    links = []
+    while not left.isEmpty():
+        by_book = left.groupBy("place").agg(F.count("*").alias("n"), F.xxhash64(F.array_join(F.sort_array(F.collect_set("stable_id")), "\0")).alias("fits"))
+        told = left.join(by_book, "place")
+        by_local = told.groupBy("stable_id").agg(F.min("place").alias("first"), (F.min("fits") == F.max("fits")).alias("alone"))
+        told = told.join(by_local, "stable_id")
+        is_first = F.col("place") == F.col("first")
+        took = stored(told.where((F.col("n") == 1) & is_first).select("place", "stable_id", "whole"), "taken-locals")
+        links.append(took)
+        none = told.where("n > 1").groupBy("place").agg(F.min(is_first).alias("first_of_all"), F.count_if("alone").alias("own")).where("first_of_all or own > 1").select("place")
+        done = none.unionByName(took.select("place"))
+        left = stored(left.join(done, "place", "left_anti").join(took.select("stable_id"), "stable_id", "left_anti"), "wanted-locals")
+    rows = reduce(DataFrame.unionByName, links) if links else left
+    return rows.select("place.item_id", "stable_id", F.when(F.col("whole"), "exact-title-author").otherwise("base-title-author").alias("basis"))
 
 
 def overview(shelf: DataFrame, local: DataFrame) -> DataFrame:
     """Every shelf entry with its local book, and every local book that no entry has: link status, text status, whether it can be discussed, next action."""
-    direct = direct_links(shelf, local).where("stable_id is not null").select("item_id", "stable_id", F.lit("provider-id").alias("basis"))
-    rest = shelf.join(direct.select("item_id"), "item_id", "left_anti")
-    links = direct.unionByName(candidate_links(rest, local, direct)).withColumn("kind", F.lit("book"))
+    claimed = direct_links(shelf, local)
+    direct = claimed.where("stable_id is not null").select("item_id", "stable_id", F.lit("provider-id").alias("basis"))
+    links = direct.unionByName(candidate_links(shelf, local, claimed)).withColumn("kind", F.lit("book"))
     books = local.select("stable_id", "edition_status", "mapping_status", "text_status", "analysis_status")
     linked = shelf.select("provider_identity", "kind", "item_id").join(links, ["kind", "item_id"], "left").join(books, "stable_id", "left")
     alone = books.join(links.select("stable_id"), "stable_id", "left_anti").select("*", F.lit("book").alias("kind"))
@@ -118,7 +142,5 @@ def audit(entries: DataFrame, local: DataFrame, shelf: DataFrame) -> DataFrame:
 
 
 def _counted(checks: dict[str, DataFrame]) -> DataFrame:
-    from functools import reduce
-
     rows = [df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check"), "violations") for name, df in checks.items()]
     return reduce(DataFrame.unionByName, rows).withColumn("ok", F.col("violations") == 0)

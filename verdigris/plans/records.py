@@ -57,6 +57,19 @@ def _locals(s: SparkSession, d: str) -> DataFrame:
     return first.unionByName(second)
 
 
+def _greedy(s: SparkSession, d: str) -> DataFrame:
+    """Eight parts are a saga: shelf entries of its whole title or of one volume, by Frank, by Junior or by both; locals of some volumes, a few in error or claimed by an entry further on."""
+    key = F.col("p_partkey")
+    saga, k, w = F.floor(key / 8), key % 8, F.col("p_size") % 5
+    volume = lambda n: F.concat(F.lit("Saga "), saga, F.lit(": Vol. "), n)
+    shelf = _table(s, d, "part").select(F.lit("book").alias("kind"), key.cast("string").alias("item_id"), F.when(w < 3, F.concat(F.lit("SAGA-"), saga)).otherwise(volume(k % 3)).alias("title"), _pick(("Frank Junior", "Frank", "Junior", "Frank Junior", "Nobody"), F.floor(F.col("p_size") / 5) % 5).alias("author"), key.alias("shelf_order"))
+    local = _table(s, d, "part").where("p_partkey % 8 in (1, 2, 5, 6)").select(
+        F.concat(F.lit("L"), key).alias("stable_id"), F.when(k == 6, F.concat(F.lit("Saga "), saga)).otherwise(volume(k % 3)).alias("title"), F.array(_pick(("Frank", "Junior"), F.col("p_size") % 2)).alias("authors"),
+        F.when(F.col("p_size") % 7 == 0, (key + 1).cast("string")).alias("provider_id"), F.when(F.col("p_size") % 11 == 0, "error").otherwise("text-ready").alias("text_status"),
+    )
+    return L.candidate_links(shelf, local, L.direct_links(shelf, local))
+
+
 def _overview(s: SparkSession, d: str) -> DataFrame:
     return L.overview(_shelf(s, d), _locals(s, d))
 
@@ -88,6 +101,15 @@ overview AS (SELECT *, CASE WHEN kind <> 'book' THEN 'register-only' WHEN local_
   WHEN analysis_status IN ('not-started', 'partial', 'failed') THEN 'analyse' WHEN discussion_available THEN 'discuss' WHEN link_status = 'local-only' THEN 'await-link' ELSE 'keep' END AS next_action FROM told)"""
 
 
+_GREEDY = """rem AS (SELECT p_partkey // 8 AS c, p_partkey % 8 AS k, CAST(p_partkey AS VARCHAR) AS item, CASE WHEN p_size % 5 < 3 THEN 'saga' || (p_partkey // 8) ELSE 'saga' || (p_partkey // 8) || 'vol' || (p_partkey % 8 % 3) END AS t, ['frankjunior', 'frank', 'junior', 'frankjunior', 'nobody'][p_size // 5 % 5 + 1] AS a FROM part),
+loc AS (SELECT p_partkey // 8 AS c, 'L' || p_partkey AS sid, 'saga' || (p_partkey // 8) AS base, CASE WHEN p_partkey % 8 = 6 THEN 'saga' || (p_partkey // 8) ELSE 'saga' || (p_partkey // 8) || 'vol' || (p_partkey % 8 % 3) END AS whole, ['frank', 'junior'][p_size % 2 + 1] AS a, CASE WHEN p_size % 7 = 0 THEN CAST(p_partkey + 1 AS VARCHAR) END AS claim, p_size % 11 = 0 AS bad FROM part WHERE p_partkey % 8 IN (1, 2, 5, 6)),
+m AS (SELECT r.c, r.k, r.item, any_value(d.sid) AS direct, list({'sid': l.sid, 'whole': l.whole = r.t}) FILTER (l.sid IS NOT NULL) AS fits FROM rem r LEFT JOIN loc d ON d.claim = r.item LEFT JOIN loc l ON l.c = r.c AND NOT l.bad AND (l.whole = r.t OR l.base = r.t) AND (contains(r.a, l.a) OR contains(l.a, r.a)) GROUP BY ALL),
+walk(c, k, item, got, used, direct) AS (
+  SELECT DISTINCT c, -1::BIGINT, NULL::VARCHAR, NULL::STRUCT(sid VARCHAR, whole BOOLEAN), []::VARCHAR[], NULL::VARCHAR FROM rem
+  UNION ALL SELECT c, k, item, got, CASE WHEN direct IS NOT NULL THEN list_append(used, direct) WHEN got IS NOT NULL THEN list_append(used, got.sid) ELSE used END, direct FROM (
+    SELECT w.c, w.k + 1 AS k, m.item, m.direct, w.used, CASE WHEN m.direct IS NULL AND len(list_filter(m.fits, lambda x: NOT list_contains(w.used, x.sid))) = 1 THEN list_filter(m.fits, lambda x: NOT list_contains(w.used, x.sid))[1] END AS got FROM walk w LEFT JOIN m ON m.c = w.c AND m.k = w.k + 1 WHERE w.k < 7))"""
+
+
 # Sessions, notes and weeks.
 def _sessions(s: SparkSession, d: str) -> DataFrame:
     conv = _table(s, d, "conversations").select("conv_id").distinct()
@@ -284,7 +306,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "shelf_counts": lambda s, d: L.shelf_counts(L.shelf_entries(_payloads(s, d))),
     "shelf_problems": lambda s, d: L.shelf_problems(L.shelf_entries(_payloads(s, d))),
     "direct_links": lambda s, d: L.direct_links(_shelf(s, d), _locals(s, d)),
-    "candidate_links": lambda s, d: L.candidate_links(_shelf(s, d).join(L.direct_links(_shelf(s, d), _locals(s, d)).where("stable_id is not null"), "item_id", "left_anti"), _locals(s, d), L.direct_links(_shelf(s, d), _locals(s, d)).where("stable_id is not null")),
+    "candidate_links": lambda s, d: L.candidate_links(_shelf(s, d), _locals(s, d), L.direct_links(_shelf(s, d), _locals(s, d))),
+    "greedy_links": _greedy,
     "library_overview": _overview,
     "library_summary": lambda s, d: L.summary(_overview(s, d)),
     "library_audit": lambda s, d: L.audit(_overview(s, d), _locals(s, d), _shelf(s, d)),
@@ -340,6 +363,7 @@ ORACLE_SQL: dict[str, str] = {
     "shelf_counts": f"WITH {_ENTRIES} SELECT shelf_id, count(*) FILTER (kind = 'book') AS books, count(*) FILTER (kind = 'album') AS albums, count(*) FILTER (kind = 'mp') AS mp, count(*) AS visible_entries FROM entries GROUP BY shelf_id",
     "shelf_problems": f"WITH {_ENTRIES} SELECT shelf_id, provider_identity, CASE WHEN provider_identity IS NULL THEN 'missing-identity' ELSE 'duplicate-identity' END AS problem FROM entries GROUP BY ALL HAVING provider_identity IS NULL OR count(*) > 1",
     "direct_links": f"WITH {_OVERVIEW} SELECT item_id, CASE WHEN n = 1 THEN stable_id END AS stable_id, CASE WHEN n > 1 THEN 'several-locals' END AS problem FROM shelf JOIN claims ON item_id = provider_id AND kind = 'book'",
+    "greedy_links": f"WITH RECURSIVE {_GREEDY} SELECT item AS item_id, got.sid AS stable_id, CASE WHEN got.whole THEN 'exact-title-author' ELSE 'base-title-author' END AS basis FROM walk WHERE got IS NOT NULL",
     "candidate_links": f"WITH {_OVERVIEW} SELECT item_id, stable_id, CASE WHEN whole THEN 'exact-title-author' ELSE 'base-title-author' END AS basis FROM cand",
     "library_overview": f"WITH {_OVERVIEW} SELECT * FROM overview",
     "library_summary": f"WITH {_OVERVIEW} SELECT count(*) AS combined_entries, count(DISTINCT stable_id) AS local_books, count(DISTINCT stable_id) FILTER (provider_identity IS NOT NULL) AS linked_books, count(DISTINCT stable_id) FILTER (local_text_status = 'text-ready') AS full_text_books, count(DISTINCT stable_id) FILTER (analysis_status = 'discussion-ready') AS analysed_books, count(*) FILTER (discussion_available) AS discussable FROM overview",

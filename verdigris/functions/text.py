@@ -150,9 +150,14 @@ def literal_count(x: Column, literal: str) -> Column:
     return ((F.length(x) - F.length(F.replace(x, F.lit(literal), F.lit("")))) / len(literal)).cast("int")
 
 
+#: Decimal digits of all scripts, and what they stand for.
+DIGITS = {chr(c): str(unicodedata.decimal(chr(c))) for c in range(0x80, 0x20000) if unicodedata.decimal(chr(c), None) is not None}
+
+
 def range_start(x: Column) -> Column:
-    """The start of ``a-b`` (blanks may stand around either number), else null."""
-    return F.when(F.rlike(x, F.lit("^\\s*[0-9]+\\s*-\\s*[0-9]+\\s*$")), F.regexp_extract(x, "^\\s*([0-9]+)", 1).try_cast("bigint"))
+    """The start of ``a-b`` (blanks may stand around either number, digits be of any script), else null."""
+    plain = F.translate(x, "".join(DIGITS), "".join(DIGITS.values()))
+    return F.when(F.rlike(plain, F.lit("(?U)^\\s*[0-9]+\\s*-\\s*[0-9]+\\s*$")), F.regexp_extract(plain, "(?U)^\\s*([0-9]+)", 1).try_cast("bigint"))
 
 
 def coverage(done: Column, total: Column) -> Column:
@@ -201,17 +206,29 @@ def is_one(x: Column) -> Column:
 
 
 def is_truthy(x: Column) -> Column:
-    """The loose kind: any number but zero, true or yes."""
-    text = F.lower(F.trim(x.cast("string")))
-    return F.coalesce(text.isin("true", "yes", "1"), F.lit(False)) | F.coalesce(text.try_cast("double") != 0, F.lit(False))
+    """The loose kind: a number but zero, or a text that says true, yes or 1."""
+    said = F.lower(F.btrim(x.cast("string"), F.lit(" \t\n\r\x0b\x0c"))).isin("true", "yes", "1")
+    number = F.coalesce(x.cast("string").try_cast("double") != 0, F.lit(False))
+    return F.coalesce(said, F.lit(False)) | (F.typeof(x).isin("tinyint", "smallint", "int", "bigint", "float", "double") & number)
+
+
+def one_decimal(x: Column) -> Column:
+    """A number to one decimal without a trailing zero: the nearer one of its exact binary value, the even one of two."""
+    size = F.abs(x)
+    low = F.floor(size * 10)
+    # The distance to the middle between two decimals, exactly: either half of the number has room for a factor of 20.
+    high = size.cast("float").cast("double")
+    over = (high * 20 - (2 * low + 1)) + (size - high) * 20
+    tenths = (low + ((over > 0) | ((over == 0) & (low % 2 == 1))).cast("bigint")).cast("bigint")
+    shown = F.concat(F.floor(tenths / 10).cast("string"), F.when(tenths % 10 != 0, F.concat(F.lit("."), tenths % 10)).otherwise(F.lit("")))
+    return F.concat(F.when(x < 0, "-").otherwise(""), shown)
 
 
 def rating_text(rating: Column, count: Column) -> Column:
-    """A rating out of 100 to one decimal without a trailing zero; of 100 to 1000 it is a tenth."""
+    """A rating out of 100 to one decimal; of 100 to 1000 it is a tenth."""
     number = rating.try_cast("double")
     number = F.when(number > 100, number / 10).otherwise(number)
-    shown = F.regexp_replace(F.regexp_replace(F.format_string("%.1f", number), "0+$", ""), "\\.$", "")
-    return F.when(number.isNull(), NO_RATING).otherwise(F.concat(shown, F.lit("/100"), F.when(count.isNotNull(), F.format_string(RATERS, count)).otherwise(F.lit(""))))
+    return F.when(number.isNull(), NO_RATING).otherwise(F.concat(one_decimal(number), F.lit("/100"), F.when(count.isNotNull(), F.format_string(RATERS, count)).otherwise(F.lit(""))))
 
 
 def scope_limits(values: Column) -> Column:
@@ -225,8 +242,8 @@ def scope_limits(values: Column) -> Column:
 
 
 def claims_too_much(value: Column) -> Column:
-    """Whether any string inside a struct, array or map claims whole coverage."""
-    text = F.to_json(value)
+    """Whether any string inside a struct, array or map claims whole coverage; names of fields claim nothing."""
+    text = F.regexp_replace(F.to_json(value), r'"(?:[^"\\\\]|\\\\.)*"\s*:', "")
     out = F.lit(False)
     for claim, _ in SCOPE_CLAIMS:
         out = out | F.contains(text, F.lit(claim))
@@ -254,12 +271,16 @@ def is_next_reading(x: Column) -> Column:
 
 
 def markdown_sections(x: Column) -> Column:
-    """A map from each ``##`` title to its bullets, or to its body where it has none."""
-    parts = F.slice(F.split(F.concat(F.lit("\n"), x), "\n##[ \t]+"), 2, 1_000_000)
-    bullets = lambda body: F.transform(F.filter(F.split(body, "\n"), lambda line: F.startswith(line, F.lit("- "))), lambda line: F.trim(F.substr(line, F.lit(3))))
-    body = lambda part: F.trim(F.regexp_replace(F.when(F.contains(part, F.lit("\n")), F.substr(part, F.instr(part, "\n") + 1)).otherwise(""), "^\n+|\n+$", ""))
+    """A map from each ``##`` title to its bullets, or to its body where it has none; of a title that stands twice the last counts."""
+    blank = F.lit(" \t\n\r\x0b\x0c")
+    parts = F.slice(F.split(F.concat(F.lit("\n"), x), "\n##\\s+"), 2, 1_000_000)
+    title = lambda part: F.btrim(F.substring_index(part, "\n", 1), blank)
+    titles = F.transform(parts, title)
+    bullets = lambda body: F.transform(F.filter(F.split(body, "\n"), lambda line: F.startswith(line, F.lit("- "))), lambda line: F.btrim(F.substr(line, F.lit(3)), blank))
+    body = lambda part: F.btrim(F.when(F.contains(part, F.lit("\n")), F.substr(part, F.instr(part, "\n") + 1)).otherwise(""), blank)
     values = lambda b: F.when(F.size(bullets(b)) > 0, bullets(b)).when(b != "", F.array(b)).otherwise(F.expr("cast(array() as array<string>)"))
-    return F.map_from_entries(F.transform(parts, lambda part: F.struct(F.trim(F.substring_index(part, "\n", 1)).alias("title"), values(body(part)).alias("items"))))
+    told = F.transform(parts, lambda part, i: F.when(~F.array_contains(F.slice(titles, i + 2, F.greatest(F.size(titles), F.lit(1))), title(part)), F.struct(title(part).alias("title"), values(body(part)).alias("items"))))
+    return F.map_from_entries(F.filter(told, lambda e: e.isNotNull()))
 
 
 def topic_score(topic: str, text: Column) -> Column:

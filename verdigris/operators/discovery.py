@@ -21,13 +21,24 @@ def feed_union(feeds: dict[str, DataFrame]) -> DataFrame:
 def candidates(rows: DataFrame) -> DataFrame:
     """Provider rows (``raw`` as JSON, ``feed``, ``position``) of any of three shapes as candidates; those without id or title go.
 
-    A row's own fields win over those nested in ``bookInfo``, or in ``book.bookInfo`` where there is no ``bookInfo``.
+    A row's own fields win over those nested in ``bookInfo``, or in ``book.bookInfo`` where there is no ``bookInfo``,
+    also where they are null. What sells out is told by a number but zero, by true, or by a text that says so.
     """
+    v = F.try_parse_json("raw")
+    of = lambda path: F.try_variant_get(v, path, "map<string,variant>")
+    own, one, two = of("$"), of("$.bookInfo"), of("$.book.bookInfo")
+    nested = F.coalesce(one, two)
+
+    def raw(name: str) -> Column:
+        return F.when(F.coalesce(F.map_contains_key(own, name), F.lit(False)), F.try_element_at(own, F.lit(name))).otherwise(F.try_element_at(nested, F.lit(name)))
+
     def field(name: str) -> Column:
-        own, one, two = (F.get_json_object("raw", f"$.{p}{name}") for p in ("", "bookInfo.", "book.bookInfo."))
-        return F.coalesce(own, F.when(F.get_json_object("raw", "$.bookInfo").isNotNull(), one).otherwise(two))
+        return F.try_variant_get(raw(name), "$", "string")
 
-    out = rows.select(F.trim(field("bookId")).alias("book_id"), F.trim(field("title")).alias("title"), F.coalesce(F.trim(field("author")), F.lit("")).alias("author"), field("category").alias("category"), X.safe_int(field("newRatingCount")).alias("rating_count"), X.is_truthy(field("soldout")).alias("sold_out"), "feed", "position", field("reason").alias("reason"))
+    kind = F.schema_of_variant(raw("soldout"))
+    said = field("soldout")
+    sold_out = F.coalesce(F.when(kind == "STRING", X.is_truthy(said)).when(kind == "BOOLEAN", said == "true").otherwise(said.try_cast("double") != 0), F.lit(False))
+    out = rows.select(F.trim(field("bookId")).alias("book_id"), F.trim(field("title")).alias("title"), F.coalesce(F.trim(field("author")), F.lit("")).alias("author"), field("category").alias("category"), X.safe_int(field("newRatingCount")).alias("rating_count"), sold_out.alias("sold_out"), "feed", "position", field("reason").alias("reason"))
     source = F.concat(F.lit("provider:"), F.substring(F.sha2(F.concat_ws("\x00", "feed", F.coalesce("reason", F.lit(""))), 256), 1, 16))
     return out.where("coalesce(book_id, '') <> '' and coalesce(title, '') <> ''").withColumn("candidate_id", F.concat(F.lit("book:"), "book_id")).withColumn("source_id", source)
 

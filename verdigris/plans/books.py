@@ -343,7 +343,7 @@ SELECT locator, coalesce(b, '') AS "before", coalesce(f, '') AS "after", round_e
         "markdown_rows": "SELECT '| ' || n_name || ' \\| x | ' || CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey AS VARCHAR) ELSE '—' END || ' |' AS line FROM nation",
         "markdown_sections": "SELECT n_nationkey, unnest(['One', 'Two', 'Three']) AS title, unnest(['a ' || n_name || '|b', 'body ' || n_nationkey, '']) AS items FROM nation",
         "chapter_markdown": f"WITH {p} SELECT doc_id, chapter, sha256('# ' || chapter || chr(10) || chr(10) || string_agg('<!-- ' || locator || ' -->' || chr(10) || text, chr(10) || chr(10) ORDER BY paragraph_index)) AS sha256 FROM p GROUP BY doc_id, chapter",
-        "scopes_and_truth": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'discussion,recommendation' ELSE 'recommendation' END AS scopes, c_custkey % 3 <> 1 AS loose, c_custkey % 3 <> 1 AS strict, CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE c_custkey END AS number FROM customer",
+        "scopes_and_truth": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'discussion,recommendation' ELSE 'recommendation' END AS scopes, c_custkey % 3 = 0 AS loose, c_custkey % 3 <> 1 AS strict, CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE c_custkey END AS number FROM customer",
         "next_reading": "SELECT c_custkey, c_custkey % 5 <> 3 AS next FROM customer",
         "file_components": "SELECT p_partkey, 'a-b-' || p_name || ' -x. ' || p_partkey AS name FROM part",
         "canonical_order": "SELECT DISTINCT source FROM documents",

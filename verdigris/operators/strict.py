@@ -153,3 +153,18 @@ def lenient_states(events: DataFrame) -> DataFrame:
     after = events.join(registered, "item").where("seq >= since")
     status = F.max_by("to_status", F.when((F.col("kind") != CANDIDATE) & (F.coalesce("to_status", F.lit("")) != ""), F.col("seq")))
     return after.groupBy("item").agg(F.coalesce(status, F.lit(CANDIDATE)).alias("status"), F.max_by(F.struct("content", "event_id"), "seq").alias("last")).select("item", "status", "last.content", "last.event_id")
+
+
+#: What an audit of a stream names, in the order of the rules.
+CHECKS = {
+    "profile": ("event-id-not-unique", "schema", "content", "category", "usage-scopes", "sensitivity", "expiry", "source", "decision-basis", "time", "event-id-not-derived", "item-id-not-derived", "transition", "content-hash", "evidence", "second-candidate", "decision-without-candidate", "statement"),
+    "belief": ("event-id-not-unique", "no-item", "schema", "belief-id", "transition", "content", "content-hash", "source", "decision-basis", "event-id-not-derived", "time", "second-candidate", "decision-without-candidate", "statement", "content-changed"),
+}
+
+
+def audit(events: DataFrame, kind: str) -> DataFrame:
+    """``check, violations, ok``: every rule of a stream by name, all of them counted in one pass."""
+    names = CHECKS[kind]
+    counted = checked(with_previous(events), kind).agg(*[F.count_if(F.col("problem") == n).alias(n) for n in names])
+    rows = F.array(*[F.struct(F.lit(n).alias("check"), F.col(f"`{n}`").alias("violations"), (F.col(f"`{n}`") == 0).alias("ok")) for n in names])
+    return counted.select(F.explode(rows).alias("x")).select("x.*")

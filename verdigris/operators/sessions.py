@@ -96,6 +96,33 @@ def weekly_tiers(sessions: DataFrame, notes: DataFrame, catalog: DataFrame, insi
     return counted.select("*", F.array_join(F.filter(F.array(*gaps), lambda x: x.isNotNull()), ",").alias("evidence_gaps"))
 
 
+#: What a week's report counts, and what it says is missing where nothing was.
+TIERS = ("book_imports", "notes", "completed_discussions", "skipped_discussions", "content_facts", "user_confirmed", "ai_inferences", "candidate_beliefs", "unresolved", "next_chapters")
+
+
+def week_reports(weeks: DataFrame, sessions: DataFrame, notes: DataFrame, catalog: DataFrame, told: DataFrame, minutes: int = 0) -> DataFrame:
+    """One row for each of ``weeks`` (``week``), also where nothing happened: ten tiers and the gaps of the evidence.
+
+    ``sessions`` has ``session_id, started_at, status``; ``told`` has ``session_id, key, text``, the items of all
+    summaries. What an author says and what is inferred counts only from completed discussions; an action is a next
+    chapter if it speaks of reading one; an insight that says nothing is none.
+    """
+    week = lambda c: X.week_of(F.col(c), minutes).alias("week")
+    done, key, text = F.col("status") == "completed", F.col("key"), F.trim("text")
+    tier = (
+        F.when(key == "author_explicit", F.when(done, "content_facts")).when(key == "user_confirmed", "user_confirmed").when(key.isin("author_inference", "ai_application"), F.when(done, "ai_inferences"))
+        .when(key == "candidate_insights", F.when((text != "") & (text != NOTHING), "candidate_beliefs")).when(key == "unresolved", "unresolved").when((key == "actions") & X.is_next_reading(F.col("text")), "next_chapters")
+    )
+    rows = sessions.select(week("started_at"), F.when(done, "completed_discussions").otherwise("skipped_discussions").alias("tier"))
+    rows = rows.unionByName(notes.select(week("occurred_at"), F.lit("notes").alias("tier"))).unionByName(catalog.where("event = 'book-imported'").select(week("at"), F.lit("book_imports").alias("tier")))
+    rows = rows.unionByName(told.join(sessions, "session_id").select(week("started_at"), tier.alias("tier")).where("tier is not null"))
+    counted = rows.groupBy("week").agg(*[F.count_if(F.col("tier") == t).alias(t) for t in TIERS])
+    every = weeks.select("week").distinct().join(counted, "week", "left").select("week", *[F.coalesce(t, F.lit(0).cast("bigint")).alias(t) for t in TIERS])
+    none = lambda *names: sum((F.col(n) for n in names), F.lit(0)) == 0
+    gaps = F.array(F.when(none("notes"), "no-notes"), F.when(none("completed_discussions", "skipped_discussions"), "no-sessions"), F.when(none("content_facts"), "no-content-facts"), F.when(none("candidate_beliefs"), "no-candidates"), F.when(none("next_chapters"), "no-next-chapters"))
+    return every.select("*", F.array_join(F.filter(gaps, lambda g: g.isNotNull()), ",").alias("evidence_gaps"))
+
+
 def live_messages(references: DataFrame, transcript: DataFrame) -> DataFrame:
     """References (``session_id, event_id``, ...) to messages that the user really wrote."""
     said = transcript.where("role = 'user' and event_type = 'message'").select("session_id", "event_id")

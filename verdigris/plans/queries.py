@@ -15,7 +15,7 @@ from ..operators import events as E
 from ..operators import evidence as V
 from ..operators import quotes as Q
 from ..sources import encodings, html
-from . import books, located, records, streams
+from . import books, located, records, streams, weeks
 
 LITERALS = ("Licensed under the Apache License, Version 2.0.", "###")
 #: What a week is expected to have; nothing sends refunds.
@@ -207,7 +207,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "deterministic_ids": lambda s, d: _table(s, d, "conversations").select("conv_id", "turn", X.short_id("candidate", F.col("conv_id"), F.col("turn"), F.col("text")).alias("candidate_id")),
 }
 
-QUERIES |= records.QUERIES | books.QUERIES | located.QUERIES | streams.QUERIES
+QUERIES |= records.QUERIES | books.QUERIES | located.QUERIES | streams.QUERIES | weeks.QUERIES
 
 # Building blocks of the SQL.
 _P = r"""l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS raw FROM documents),
@@ -305,4 +305,4 @@ SELECT pair_id, CASE WHEN off THEN 'mismatch' WHEN code = 1 THEN 'confirmed' WHE
 CASE WHEN doc_id % 6 = 5 THEN 'unsupported' WHEN doc_id % 6 = 4 AND octet_length(encode(text)) < 524288 THEN 'nul-bytes' END AS reason FROM documents""",
     "deterministic_ids": "SELECT conv_id, turn, 'candidate-' || substring(sha256(CAST(conv_id AS VARCHAR) || chr(0) || CAST(turn AS VARCHAR) || chr(0) || coalesce(text, '')), 1, 16) AS candidate_id FROM conversations",
 }
-ORACLE_SQL |= records.ORACLE_SQL | books.oracle(_P, _NORM, _REG) | located.oracle(_P, _NORM) | streams.oracle(_P)
+ORACLE_SQL |= records.ORACLE_SQL | books.oracle(_P, _NORM, _REG) | located.oracle(_P, _NORM) | streams.oracle(_P) | weeks.ORACLE_SQL

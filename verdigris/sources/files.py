@@ -46,7 +46,7 @@ def header_scalar(text: Column, key: str, indent: int = 0) -> Column:
     raw = F.regexp_extract_all(text, F.lit(f"(?m)^ {{{indent}}}{key}:[ \t]*(.*?)[ \t]*$"), F.lit(1))
     value = F.get(raw, F.lit(0))
     quoted = F.when(F.rlike(value, F.lit('^".*"$')), F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v"))
-    return F.when(value.isNull() | value.isin("null", "~"), F.lit(None)).otherwise(F.coalesce(quoted, F.regexp_replace(value, "^'(.*)'$", "$1")))
+    return F.when(value.isNull() | (value == "null"), F.lit(None)).otherwise(F.coalesce(quoted, F.regexp_replace(value, "^'(.*)'$", "$1")))
 
 
 def header_list(text: Column, key: str, indent: int = 0) -> Column:

@@ -87,3 +87,20 @@ def chapter_markdown(paras: DataFrame) -> DataFrame:
     """``doc_id, chapter, markdown``: a chapter's paragraphs, each under its locator."""
     blocks = F.sort_array(F.collect_list(F.struct("paragraph_index", F.concat(F.lit("<!-- "), "locator", F.lit(" -->\n"), "text").alias("block"))))
     return paras.groupBy("doc_id", "chapter").agg(F.concat(F.lit("# "), F.first("chapter").cast("string"), F.lit("\n\n"), F.array_join(F.transform(blocks, lambda x: x["block"]), "\n\n")).alias("markdown"))
+
+
+def write_by_week(rows: DataFrame, ts: str, path: str, minutes: int = 0) -> None:
+    """``rows`` below ``path``, a folder for each ISO week of ``ts`` in a fixed offset; rows without a time go to one of their own."""
+    rows.withColumn("week", X.week_of(F.col(ts), minutes)).repartition("week", F.pmod(F.xxhash64(ts), F.lit(8))).write.mode("append").partitionBy("week").parquet(path)
+
+
+def read_window(spark: SparkSession, path: str, ts: str, start: str, end: str, minutes: int = 0) -> DataFrame:
+    """Rows of ``write_by_week`` from ``start`` on and before ``end`` (times with a zone). Weeks that cannot have any are not opened."""
+    at = [F.to_timestamp(F.lit(x)) for x in (start, end)]
+    first, last = spark.range(1).select(*[X.week_of(t, minutes).alias(f"w{i}") for i, t in enumerate(at)]).first()
+    return spark.read.parquet(path).where((F.col("week") >= first) & (F.col("week") <= last) & (F.col(ts) >= at[0]) & (F.col(ts) < at[1])).drop("week")
+
+
+def read_weeks(spark: SparkSession, path: str, asked: DataFrame) -> DataFrame:
+    """Rows of the weeks in ``asked`` (``week``), found when the query runs: only their folders are opened."""
+    return spark.read.parquet(path).join(F.broadcast(asked.select("week").distinct()), "week", "left_semi")

@@ -35,7 +35,7 @@ def events(spark):
 def opened(df):
     """The week folders that a query's rows come from, and the filters on folders in its plan."""
     plan = df._jdf.queryExecution().executedPlan().toString()
-    return plan[plan.index("PartitionFilters") :].split("]")[0]
+    return plan[plan.index("PartitionFilters") :].split("PushedFilters")[0]
 
 
 def test_a_window_opens_only_its_weeks(spark, tmp_path):

@@ -102,5 +102,6 @@ def read_window(spark: SparkSession, path: str, ts: str, start: str, end: str, m
 
 
 def read_weeks(spark: SparkSession, path: str, asked: DataFrame) -> DataFrame:
-    """Rows of the weeks in ``asked`` (``week``), found when the query runs: only their folders are opened."""
-    return spark.read.parquet(path).join(F.broadcast(asked.select("week").distinct()), "week", "left_semi")
+    """Rows of the weeks in ``asked`` (``week``), found when the query runs: only their folders are opened. Weeks are few, some thousands in a century, so they may be broadcast."""
+    # Spark looks for what to leave out only if the other side has a comparison that could leave something out.
+    return spark.read.parquet(path).join(F.broadcast(asked.where("week > ''").select("week").distinct()), "week", "left_semi")

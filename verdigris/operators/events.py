@@ -24,11 +24,12 @@ def latest(events: DataFrame, key: str, seq: str) -> DataFrame:
     return events.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(seq)).alias("x")).select(key, "x.*")
 
 
-def fold(events: DataFrame, key: str, seq: str, decision: str, steps: tuple[tuple[str, str, str], ...], start: str = "candidate", block: int = 1024) -> DataFrame:
+def fold(events: DataFrame, key: str, seq: str, decision: str, steps: tuple[tuple[str, str, str], ...], start: str = "candidate", block: int = 4096) -> DataFrame:
     """State after all decisions of a key in order; illegal ones leave it and are counted.
 
-    Decisions are folded in blocks of ``block`` sequence numbers, each for every state it could begin in; the blocks'
-    outcomes, a few numbers each, are then composed in order. So a key with most of all events is many tasks' work.
+    A key of up to ``block`` events is folded in one row. The events of a larger one are dealt out by ranges of their
+    numbers, each range folded for every state it could begin in; the outcomes of the ranges, a few numbers each, are
+    then composed in order. So a key with most of all events is many tasks' work.
     """
     names = sorted({x for s, _, t in steps for x in (s, t)} | {start})
     table = F.create_map(*[F.lit(x) for s, d, t in steps for x in (f"{s}+{d}", t)])
@@ -39,7 +40,16 @@ def fold(events: DataFrame, key: str, seq: str, decision: str, steps: tuple[tupl
         return result(F.coalesce(to, acc["state"]), acc["applied"] + F.when(to.isNotNull(), 1).otherwise(0), acc["illegal"] + F.when(to.isNull(), 1).otherwise(0))
 
     ordered = F.sort_array(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(decision).alias("d"))))
-    blocks = events.groupBy(key, F.floor(F.col(seq) / block).alias("block")).agg(ordered.alias("e"))
+    whole = lambda rows: rows.groupBy(key).agg(F.aggregate(ordered, result(F.lit(start), F.lit(0), F.lit(0)), step).alias("x"))
+    hot = events.groupBy(key).agg(F.count("*").alias("__n"), F.min(seq).alias("__from"), F.max(seq).alias("__to")).where(F.col("__n") > block)
+    if hot.isEmpty():
+        return whole(events).select(key, "x.state", "x.applied", "x.illegal")
+
+    # As many ranges as blocks are needed, over the numbers that the key has; null is a key like any other.
+    width = F.greatest(F.lit(1), F.ceil((F.col("__to") - F.col("__from") + 1) / F.ceil(F.col("__n") / block)))
+    known_hot = hot.select(F.col(key).alias("__key"), "__from", width.alias("__width"))
+    told = events.join(known_hot, F.col(key).eqNullSafe(F.col("__key")), "left")
+    blocks = told.where("__width is not null").groupBy(key, F.floor((F.col(seq) - F.col("__from")) / F.col("__width")).alias("block")).agg(ordered.alias("e"))
     from_each = F.array(*[F.aggregate("e", result(F.lit(n), F.lit(0), F.lit(0)), step) for n in names])
     composed = blocks.select(key, F.struct("block", from_each.alias("to")).alias("b"))
     known = F.array(*map(F.lit, names))
@@ -48,7 +58,8 @@ def fold(events: DataFrame, key: str, seq: str, decision: str, steps: tuple[tupl
         to = F.get(b["to"], F.array_position(known, acc["state"]).cast("int") - 1)
         return result(to["state"], acc["applied"] + to["applied"], acc["illegal"] + to["illegal"])
 
-    return composed.groupBy(key).agg(F.aggregate(F.sort_array(F.collect_list("b")), result(F.lit(start), F.lit(0), F.lit(0)), then).alias("x")).select(key, "x.state", "x.applied", "x.illegal")
+    large = composed.groupBy(key).agg(F.aggregate(F.sort_array(F.collect_list("b")), result(F.lit(start), F.lit(0), F.lit(0)), then).alias("x"))
+    return whole(told.where("__width is null").select(*events.columns)).unionByName(large).select(key, "x.state", "x.applied", "x.illegal")
 
 
 def weekly_report(events: DataFrame, hours: int = 8) -> DataFrame:

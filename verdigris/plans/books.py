@@ -189,7 +189,7 @@ def _notes(s: SparkSession, d: str) -> DataFrame:
 def _loose_hits(s: SparkSession, d: str) -> DataFrame:
     from ..operators import quotes as Q
 
-    notes = _notes(s, d).where("item_id % 8 < 2").select("item_id", X.strip_punctuation(X.normalize_search(F.col("text"))).alias("text")).where(F.length("text") >= 6)
+    notes = _notes(s, d).select("item_id", X.strip_punctuation(X.normalize_search(F.col("text"))).alias("text")).where(F.length("text") >= 6)
     return Q.quote_hits(notes, _paras(s, d).select("locator", X.strip_punctuation(X.normalize_search(F.col("text"))).alias("text")))
 
 
@@ -197,6 +197,14 @@ def _cascade(s: SparkSession, d: str) -> DataFrame:
     return matching.cascade(_notes(s, d), _paras(s, d))
 
 
+def _match_events(s: SparkSession, d: str) -> DataFrame:
+    """Where the benchmark's passages stand, as events; every third has one already."""
+    from ..operators import quotes as Q
+
+    notes = _table(s, d, "benchmark").select("item_id", "text")
+    return matching.match_events(notes, Q.quote_status(notes, _paras(s, d)), notes.where("item_id % 3 = 0").select(F.concat(F.lit("match:"), "item_id", F.lit(":1")).alias("event_id")))
+
+
 def _resolved(s: SparkSession, d: str) -> DataFrame:
     rows = _table(s, d, "events")
     notes = rows.where("event_type = 'purchase'").select(F.col("event_id").alias("note_id"), "user_id", F.when(F.col("event_id") % 6 != 0, F.col("event_id")).alias("start"))
@@ -280,7 +288,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scope_limits": _limits,
     "quote_cascade": _cascade,
     "quote_loose_hits": _loose_hits,
-    "match_events": lambda s, d: matching.match_events(_notes(s, d), _table(s, d, "benchmark").select("item_id", F.lit("exact").alias("status"), F.lit(1).cast("bigint").alias("candidate_count"), F.lit("x").alias("locator")), _table(s, d, "benchmark").where("item_id % 3 = 0").select(F.concat(F.lit("match:"), "item_id", F.lit(":1")).alias("event_id"))),
+    "match_events": _match_events,
     "first_resolving_anchor": _resolved,
     "fresh_task_events": _task_events,
     "upserted_rows": _upserted,
@@ -334,8 +342,8 @@ SELECT locator, coalesce(b, '') AS "before", coalesce(f, '') AS "after", round_e
         "analysis_progress": """WITH c AS (SELECT c_custkey AS doc_id, c_custkey % 4 AS k, c_custkey % 3 = 0 AS f FROM customer) SELECT doc_id, CASE k WHEN 0 THEN CASE WHEN f THEN 'failed' ELSE 'not-started' END WHEN 3 THEN 'discussion-ready' ELSE 'partial' END AS status, [0.0::DOUBLE, 0.333333::DOUBLE, 0.666667::DOUBLE, 1.0::DOUBLE][k + 1] AS coverage,
 ['', 'ch-2', 'ch-1,ch-3', 'ch-1,ch-2,ch-3'][k + 1] AS completed, CASE WHEN f AND k IN (0, 2) THEN 'ch-2' ELSE '' END AS failed FROM c""",
         "scope_limits": "SELECT n_nationkey, '已未逐字覆盖|不代表全书覆盖|' || n_name AS limits, n_nationkey % 3 = 0 AS claims FROM nation",
-        "quote_loose_hits": f"WITH {p}, t AS (SELECT locator, {bare} AS b FROM p), q AS (SELECT item_id, {bare} AS b FROM benchmark WHERE item_id % 8 < 2) SELECT item_id, locator FROM q JOIN t ON length(q.b) >= 6 AND contains(t.b, q.b)",
-        "match_events": "SELECT 'match:' || item_id || ':1' AS event_id, item_id AS source_event_id, 'exact' AS status, 1::BIGINT AS candidate_count, 'x' AS locator FROM benchmark WHERE item_id % 3 <> 0",
+        "quote_loose_hits": f"WITH {p}, t AS (SELECT locator, {bare} AS b FROM p), qq AS (SELECT item_id, CASE item_id % 8 WHEN 1 THEN translate(text, ',.', ';!') WHEN 2 THEN substring(text, 1, 5) WHEN 4 THEN ' ' WHEN 5 THEN substring(text, 1, 30) || '#' || substring(text, 32) WHEN 6 THEN reverse(text) ELSE text END AS text FROM benchmark), q AS (SELECT item_id, {bare} AS b FROM qq) SELECT item_id, locator FROM q JOIN t ON length(q.b) >= 6 AND contains(t.b, q.b)",
+        "match_events": f"WITH {p}, pn AS (SELECT locator, {norm.format('text')} AS n FROM p), q AS (SELECT item_id, {norm.format('text')} AS q FROM benchmark), st AS (SELECT item_id, count(DISTINCT locator) AS c, min(locator) AS l, any_value(length(q)) AS chars FROM q LEFT JOIN pn ON q <> '' AND contains(n, q) GROUP BY item_id) SELECT 'match:' || item_id || ':1' AS event_id, item_id AS source_event_id, CASE WHEN chars = 0 THEN 'empty' WHEN c = 1 AND chars >= 6 THEN 'exact' WHEN c > 0 THEN 'ambiguous' ELSE 'not-found' END AS status, c AS candidate_count, CASE WHEN c = 1 THEN l END AS locator FROM st WHERE item_id % 3 <> 0",
         "first_resolving_anchor": "WITH j AS (SELECT n.event_id AS note_id, a.event_id AS anchor_id, CASE WHEN n.event_id % 6 <> 0 THEN abs(n.event_id - a.event_id) ELSE 0 END AS d FROM events n JOIN events a ON n.user_id = a.user_id AND n.event_type = 'purchase' AND a.event_type = 'error' AND a.event_id % 3 <> 1) SELECT note_id, anchor_id FROM j QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY d, anchor_id) = 1",
         "fresh_task_events": "SELECT DISTINCT 'event-' || substring(sha256(o_orderstatus || chr(0) || o_custkey || chr(0) || o_orderpriority), 1, 24) AS event_id, o_orderstatus AS event, o_custkey AS task, o_orderpriority AS fingerprint FROM orders WHERE o_custkey % 3 <> 0",
         "upserted_rows": "SELECT c_custkey, 'old' AS state FROM customer WHERE c_custkey NOT IN (SELECT c_custkey + 2 FROM customer WHERE c_custkey % 4 = 0) UNION ALL SELECT c_custkey + 2, 'new' FROM customer WHERE c_custkey % 4 = 0",

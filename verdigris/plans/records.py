@@ -153,7 +153,7 @@ def _catalog(s: SparkSession, d: str) -> DataFrame:
 
 def _insights(s: SparkSession, d: str) -> DataFrame:
     rows = _table(s, d, "conversations").where("role = 'user'")
-    return S.insight_candidates(rows.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("position"), F.when(F.col("turn") % 9 == 8, "无").otherwise(F.substring("text", 1, 40)).alias("text")))
+    return S.insight_candidates(rows.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("position"), F.when(F.col("turn") % 9 == 8, "无").otherwise(F.col("text")).alias("text")))
 
 
 def _marks(s: SparkSession, d: str) -> DataFrame:
@@ -166,16 +166,16 @@ def _marks(s: SparkSession, d: str) -> DataFrame:
 _SESS = """sess AS (SELECT DISTINCT conv_id AS session_id, TIMESTAMP '2023-12-30' + to_hours(CAST(conv_id * 7 AS INTEGER)) AS started_at FROM conversations WHERE conv_id % 5 <> 0 AND conv_id % 3 <> 0),
 rec AS (SELECT session_id, started_at, CASE WHEN bool_or(conv_id % 7 = 0 AND turn = 0) THEN 'skipped-by-user' ELSE 'completed' END AS status FROM sess JOIN conversations ON conv_id = session_id GROUP BY ALL)"""
 _NOTES = """notes AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN CAST(floor(epoch(ts)) AS BIGINT) WHEN 1 THEN 0 END AS create_time, CASE event_id % 3 WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS synced_at, date_trunc('second', ts) AS occurred_at FROM events WHERE event_type = 'click' AND event_id % 3 <> 2)"""
-_INS = """ins AS (SELECT conv_id AS session_id, turn + 1 AS n, trim(CASE WHEN turn % 9 = 8 THEN '无' ELSE substring(text, 1, 40) END) AS content FROM conversations WHERE role = 'user'),
+_INS = """ins AS (SELECT conv_id AS session_id, turn + 1 AS n, trim(CASE WHEN turn % 9 = 8 THEN '无' ELSE text END) AS content FROM conversations WHERE role = 'user'),
 cands AS (SELECT 'candidate-' || substring(sha256(session_id || chr(0) || n || chr(0) || content), 1, 16) AS candidate_id, session_id, content FROM ins WHERE content <> '' AND content <> '无')"""
 
 
 # Event streams.
 def _stream(s: SparkSession, d: str) -> DataFrame:
-    """A candidate and up to three decisions for each user, some of them out of order or damaged."""
+    """A candidate and decisions for each user, of all events, some of them out of order or damaged."""
     from pyspark.sql import Window
 
-    rows = _table(s, d, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where("n <= 1 + user_id % 4")
+    rows = _table(s, d, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
     start = F.col("n") == 1
     was = F.when(start, F.lit(None).cast("string")).when(F.col("n") == 2, "candidate").otherwise(_pick(("confirmed", "revised"), F.col("event_id") % 2))
     decision = F.when(~start, _pick(("confirm", "revise", "reject", "retire"), F.col("event_id") % 4))
@@ -185,7 +185,7 @@ def _stream(s: SparkSession, d: str) -> DataFrame:
 
 def _requests(s: SparkSession, d: str) -> DataFrame:
     rows = _table(s, d, "conversations").where("role = 'user'")
-    return rows.select(F.when(F.col("turn") % 2 == 0, "goal").otherwise("habit").alias("category"), F.substring("text", 1, 30).alias("content"), F.col("conv_id").cast("string").alias("source"), F.when(F.col("turn") % 3 != 0, "remember this").alias("statement"))
+    return rows.select(F.when(F.col("turn") % 2 == 0, "goal").otherwise("habit").alias("category"), F.coalesce("text", F.lit("")).alias("content"), F.col("conv_id").cast("string").alias("source"), F.when(F.col("turn") % 3 != 0, "remember this").alias("statement"))
 
 
 def _stored(s: SparkSession, d: str) -> DataFrame:
@@ -279,13 +279,14 @@ def _snapshot(s: SparkSession, d: str) -> DataFrame:
 def _query_problems(s: SparkSession, d: str) -> DataFrame:
     said = C.user_statements(_table(s, d, "conversations"))
     k = F.col("turn") % 5
-    rows = _table(s, d, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.when(k == 0, F.substring_index("text", "\n", 1)).when(k == 1, "books on skill").when(k == 2, "").when(k == 3, F.repeat(F.lit("long "), 20)).otherwise("novels of the sea").alias("query"))
+    lines = F.when(k == 0, F.split(F.coalesce("text", F.lit("")), "\n")).when(k == 1, F.array(F.lit("books on skill"))).when(k == 2, F.array(F.lit(""))).when(k == 3, F.array(F.repeat(F.lit("long "), 20))).otherwise(F.array(F.lit("novels of the sea")))
+    rows = _table(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.posexplode(lines).alias("line", "query")).select(F.concat_ws("-", "conv_id", "turn", "line").alias("query_id"), "query")
     return R.query_problems(rows, said)
 
 
 def _results(s: SparkSession, d: str) -> DataFrame:
     found = R.candidates(_feeds(s, d)).groupBy("candidate_id").agg(F.min("source_id").alias("source_id"), F.min("position").alias("k"))
-    return found.where("k < 60").select(
+    return found.select(
         F.col("k").alias("item"), _pick(("deepen", "counter", "transfer", "other"), F.col("k") % 4).alias("route"), F.when(F.col("k") % 10 == 0, "book:2").otherwise(F.col("candidate_id")).alias("candidate_id"),
         F.when(F.col("k") % 6 == 0, F.expr("cast(array() as array<string>)")).otherwise(F.array(F.concat(F.lit("current:t:"), F.col("k") % 40))).alias("contexts"), F.array(F.when(F.col("k") % 8 == 0, "provider:none").otherwise(F.col("source_id"))).alias("providers"), F.when(F.col("k") % 9 == 0, "").otherwise("few").alias("gaps"),
     )
@@ -349,12 +350,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WEEK = "strftime({} + INTERVAL 480 MINUTE, '%G-W%V')"
 _STREAM = """n1 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
-st AS (SELECT user_id AS item, event_id AS seq, n, CASE WHEN n = 1 THEN NULL WHEN n = 2 THEN 'candidate' WHEN event_id % 2 = 0 THEN 'confirmed' ELSE 'revised' END AS f, CASE WHEN n = 1 THEN 'candidate' ELSE ['confirmed', 'revised', 'rejected', 'retired'][event_id % 4 + 1] END AS t, event_id % 4 AS k, event_type AS content, event_id % 11 = 0 AS bad FROM n1 WHERE n <= 1 + user_id % 4),
+st AS (SELECT user_id AS item, event_id AS seq, n, CASE WHEN n = 1 THEN NULL WHEN n = 2 THEN 'candidate' WHEN event_id % 2 = 0 THEN 'confirmed' ELSE 'revised' END AS f, CASE WHEN n = 1 THEN 'candidate' ELSE ['confirmed', 'revised', 'rejected', 'retired'][event_id % 4 + 1] END AS t, event_id % 4 AS k, event_type AS content, event_id % 11 = 0 AS bad FROM n1),
 pv AS (SELECT *, lag(t) OVER (PARTITION BY item ORDER BY seq) AS was FROM st),
 vio AS (SELECT item, seq, CASE WHEN bad THEN 'content-hash' WHEN n > 1 AND f IS DISTINCT FROM was THEN 'from-status'
   WHEN n > 1 AND NOT ((f = 'candidate' AND k < 3) OR (f IN ('confirmed', 'revised') AND k IN (1, 3))) THEN 'transition' END AS problem FROM pv),
 good AS (SELECT item, arg_max(t, seq) AS status, arg_max(content, seq) AS content, 'e' || max(seq) AS event_id FROM st WHERE item NOT IN (SELECT item FROM vio WHERE problem IS NOT NULL) GROUP BY item)"""
-_REQ = """req AS (SELECT CASE WHEN turn % 2 = 0 THEN 'goal' ELSE 'habit' END AS category, substring(text, 1, 30) AS content, CAST(conv_id AS VARCHAR) AS source, turn % 3 <> 0 AS said, conv_id FROM conversations WHERE role = 'user'),
+_REQ = """req AS (SELECT CASE WHEN turn % 2 = 0 THEN 'goal' ELSE 'habit' END AS category, coalesce(text, '') AS content, CAST(conv_id AS VARCHAR) AS source, turn % 3 <> 0 AS said, conv_id FROM conversations WHERE role = 'user'),
 idn AS (SELECT 'item-' || sha256(source || chr(0) || category || chr(0) || content) AS item, category, content, said, conv_id FROM req),
 new_ AS (SELECT item, 'event-' || sha256('candidate' || chr(0) || item) AS event_id, category, content, bool_or(said) AS said FROM idn WHERE conv_id % 2 = 1 GROUP BY ALL)"""
 
@@ -407,10 +408,11 @@ b AS (SELECT substring(h, 1, 2) AS b, count(*) AS n, sha256(string_agg(h, chr(10
     "annotated_candidates": f"WITH {_FEED} SELECT m.candidate_id, CASE WHEN p.p_partkey IS NULL THEN NULL WHEN p.p_partkey % 2 = 0 THEN 'provider-id' WHEN {_KEY.format('p.p_type')} = {_KEY.format('m.author')} THEN 'title-author-only' END AS basis, CASE WHEN p.p_partkey % 2 = 0 OR {_KEY.format('p.p_type')} = {_KEY.format('m.author')} THEN 'L' || p.p_partkey END AS stable_id FROM mrg m LEFT JOIN part p ON CAST(p.p_partkey AS VARCHAR) = m.book_id AND p.p_partkey % 7 = 0",
     "candidate_gate": f"WITH {_FEED} SELECT count(*) FILTER (eligible) AS eligible, 9::BIGINT AS needed, count(*) FILTER (eligible) >= 9 AS enough FROM mrg",
     "ranked_candidates": f"WITH {_FEED} SELECT candidate_id, eligible, rating_count, {_KEY.format('title')} AS title_key FROM mrg",
-    "query_problems": rf"""WITH {_SRC}, q AS (SELECT conv_id || '-' || turn AS query_id, CASE turn % 5 WHEN 0 THEN split_part(text, chr(10), 1) WHEN 1 THEN 'books on skill' WHEN 2 THEN '' WHEN 3 THEN repeat('long ', 20) ELSE 'novels of the sea' END AS query FROM conversations WHERE role = 'user'),
+    "query_problems": rf"""WITH {_SRC}, ql AS (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN string_split(coalesce(text, ''), chr(10)) WHEN 1 THEN ['books on skill'] WHEN 2 THEN [''] WHEN 3 THEN [repeat('long ', 20)] ELSE ['novels of the sea'] END AS ls FROM conversations WHERE role = 'user'),
+q AS (SELECT conv_id || '-' || turn || '-' || (generate_subscripts(ls, 1) - 1) AS query_id, unnest(ls) AS query FROM ql),
 k AS (SELECT DISTINCT regexp_replace(replace(lower(content), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]+', '', 'g') AS key FROM stm WHERE length(content) >= 20),
 p AS (SELECT query_id, CASE WHEN trim(query) = '' THEN 'empty' WHEN length(query) > 80 THEN 'too-long' WHEN regexp_matches(query, '(?i)(api[ _-]?key|access[ _-]?token|authorization|credential|secret|password|skill|密钥|密码|令牌)') THEN 'private' WHEN regexp_replace(replace(lower(query), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]+', '', 'g') IN (SELECT key FROM k) THEN 'copies-a-statement' END AS problem FROM q) SELECT * FROM p WHERE problem IS NOT NULL""",
-    "recommendation_problems": f"""WITH {_FEED}, r AS (SELECT min(position) AS item, candidate_id AS own, min(source_id) AS sid FROM cnd GROUP BY candidate_id HAVING min(position) < 60), s AS (SELECT item, sid, ['deepen', 'counter', 'transfer', 'other'][item % 4 + 1] AS route, CASE WHEN item % 10 = 0 THEN 'book:2' ELSE own END AS candidate_id, CASE WHEN item % 8 = 0 THEN 'provider:none' ELSE sid END AS p FROM r)
+    "recommendation_problems": f"""WITH {_FEED}, r AS (SELECT min(position) AS item, candidate_id AS own, min(source_id) AS sid FROM cnd GROUP BY candidate_id), s AS (SELECT item, sid, ['deepen', 'counter', 'transfer', 'other'][item % 4 + 1] AS route, CASE WHEN item % 10 = 0 THEN 'book:2' ELSE own END AS candidate_id, CASE WHEN item % 8 = 0 THEN 'provider:none' ELSE sid END AS p FROM r)
 SELECT CAST(item AS VARCHAR) AS key, 'candidate-not-eligible' AS problem FROM s WHERE candidate_id NOT IN (SELECT candidate_id FROM mrg WHERE eligible) UNION ALL SELECT CAST(item AS VARCHAR), 'candidate-used-twice' FROM s WHERE candidate_id IN (SELECT candidate_id FROM s GROUP BY candidate_id HAVING count(*) > 1)
 UNION ALL SELECT CAST(item AS VARCHAR), 'unknown-route' FROM s WHERE route = 'other' UNION ALL SELECT CAST(item AS VARCHAR), 'no-context' FROM s WHERE item % 6 = 0 UNION ALL SELECT CAST(item AS VARCHAR), 'no-gaps' FROM s WHERE item % 9 = 0 UNION ALL SELECT CAST(item AS VARCHAR), 'context-not-approved' FROM s WHERE item % 6 <> 0 AND item % 40 >= 25
 UNION ALL SELECT CAST(item AS VARCHAR), 'provider-not-of-candidate' FROM s WHERE (candidate_id, p) NOT IN (SELECT (candidate_id, source_id) FROM cnd) UNION ALL SELECT route, 'wrong-number-of-items' FROM (SELECT unnest(['deepen', 'counter', 'transfer']) AS route) x WHERE (SELECT count(*) FROM s WHERE s.route = x.route) <> 5""",

@@ -172,15 +172,16 @@ cands AS (SELECT 'candidate-' || substring(sha256(session_id || chr(0) || n || c
 
 # Event streams.
 def _stream(s: SparkSession, d: str) -> DataFrame:
-    """A candidate and decisions for each user, of all events, some of them out of order or damaged."""
+    """A candidate and decisions for each user, of all events: those of every third user legal, those of others out of order or damaged."""
     from pyspark.sql import Window
 
     rows = _table(s, d, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
-    start = F.col("n") == 1
-    was = F.when(start, F.lit(None).cast("string")).when(F.col("n") == 2, "candidate").otherwise(_pick(("confirmed", "revised"), F.col("event_id") % 2))
-    decision = F.when(~start, _pick(("confirm", "revise", "reject", "retire"), F.col("event_id") % 4))
-    to = F.when(start, "candidate").when(F.col("event_id") % 4 == 0, "confirmed").when(F.col("event_id") % 4 == 1, "revised").when(F.col("event_id") % 4 == 2, "rejected").otherwise("retired")
-    return rows.select(F.col("user_id").alias("item"), F.col("event_id").alias("seq"), F.concat(F.lit("e"), "event_id").alias("event_id"), F.when(start, "candidate").otherwise("decision").alias("kind"), decision.alias("decision"), was.alias("from_status"), to.alias("to_status"), F.col("event_type").alias("content"), F.when(F.col("event_id") % 11 == 0, "bad").otherwise(F.sha2("event_type", 256)).alias("content_sha256"))
+    start, legal = F.col("n") == 1, F.col("user_id") % 3 == 0
+    k = F.when(legal, 1).otherwise(F.col("event_id") % 4)
+    was = F.when(start, F.lit(None).cast("string")).when(F.col("n") == 2, "candidate").otherwise(_pick(("confirmed", "revised"), F.when(legal, 1).otherwise(F.col("event_id") % 2)))
+    decision = F.when(~start, _pick(("confirm", "revise", "reject", "retire"), k))
+    to = F.when(start, "candidate").otherwise(_pick(("confirmed", "revised", "rejected", "retired"), k))
+    return rows.select(F.col("user_id").alias("item"), F.col("event_id").alias("seq"), F.concat(F.lit("e"), "event_id").alias("event_id"), F.when(start, "candidate").otherwise("decision").alias("kind"), decision.alias("decision"), was.alias("from_status"), to.alias("to_status"), F.col("event_type").alias("content"), F.when(~legal & (F.col("event_id") % 11 == 0), "bad").otherwise(F.sha2("event_type", 256)).alias("content_sha256"))
 
 
 def _requests(s: SparkSession, d: str) -> DataFrame:
@@ -349,8 +350,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _WEEK = "strftime({} + INTERVAL 480 MINUTE, '%G-W%V')"
-_STREAM = """n1 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
-st AS (SELECT user_id AS item, event_id AS seq, n, CASE WHEN n = 1 THEN NULL WHEN n = 2 THEN 'candidate' WHEN event_id % 2 = 0 THEN 'confirmed' ELSE 'revised' END AS f, CASE WHEN n = 1 THEN 'candidate' ELSE ['confirmed', 'revised', 'rejected', 'retired'][event_id % 4 + 1] END AS t, event_id % 4 AS k, event_type AS content, event_id % 11 = 0 AS bad FROM n1),
+_STREAM = """n1 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, CASE WHEN user_id % 3 = 0 THEN 1 ELSE event_id % 4 END AS k FROM events),
+st AS (SELECT user_id AS item, event_id AS seq, n, CASE WHEN n = 1 THEN NULL WHEN n = 2 THEN 'candidate' WHEN user_id % 3 <> 0 AND event_id % 2 = 0 THEN 'confirmed' ELSE 'revised' END AS f, CASE WHEN n = 1 THEN 'candidate' ELSE ['confirmed', 'revised', 'rejected', 'retired'][k + 1] END AS t, k, event_type AS content, event_id % 11 = 0 AND user_id % 3 <> 0 AS bad FROM n1),
 pv AS (SELECT *, lag(t) OVER (PARTITION BY item ORDER BY seq) AS was FROM st),
 vio AS (SELECT item, seq, CASE WHEN bad THEN 'content-hash' WHEN n > 1 AND f IS DISTINCT FROM was THEN 'from-status'
   WHEN n > 1 AND NOT ((f = 'candidate' AND k < 3) OR (f IN ('confirmed', 'revised') AND k IN (1, 3))) THEN 'transition' END AS problem FROM pv),

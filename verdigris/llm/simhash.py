@@ -19,7 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -89,7 +89,8 @@ def _met(nodes: DataFrame, distance: int, most_in_bucket: int) -> tuple[DataFram
 
     index = nodes.select("node", "fp", F.posexplode(F.array(*[key(at, k) for k, at in enumerate(sets)])).alias("set", "key"))
     sizes = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(index.join(sizes, "key").select("key", "set", "node", "fp", "n"))
+    # Spark takes an index for as small as the nodes that it is made of, and would send it whole through the driver.
+    shared = cut(index.hint("merge").join(sizes, "key").select("key", "set", "node", "fp", "n"))
 
     # Postings: pairs under one set, then the tally of all their matching positional bytes, then the bits.
     buckets = shared.where(F.col("n") <= most_in_bucket).groupBy("key").agg(F.min("set").alias("set"), F.collect_list(F.struct("node", "fp")).alias("m"))
@@ -120,9 +121,12 @@ def _met(nodes: DataFrame, distance: int, most_in_bucket: int) -> tuple[DataFram
 
 
 def _starred(spots: DataFrame) -> DataFrame:
-    """``place, node, low``: each node of a place with others, and the place's first."""
-    meet = spots.groupBy("place").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1")
-    return spots.join(meet, "place").where("node <> low").select("place", "node", "low")
+    """``place, node, low``: each node of a place with others, and the place's first.
+
+    A place has as many nodes at most as there are values within half the distance of it (2081 for a distance of 4),
+    so a window holds few rows, and no table of places is joined or broadcast.
+    """
+    return spots.select("place", "node", F.min("node").over(Window.partitionBy("place")).alias("low")).where("node <> low")
 
 
 def _links(fps: DataFrame, distance: int, most_in_bucket: int) -> DataFrame:

@@ -150,3 +150,16 @@ def test_texts_write_only_grams_that_are_asked_for(spark):
     key = int(grams.gram_keys("needle", 6, 7)[0]) & (grams.BITMAPS * grams.BITS - 1)
     bits[key >> 3] |= 1 << (key & 7)
     assert [r["locator"] for r in grams._held(texts, bytes(bits), [6]).collect()] == ["hit"]
+
+
+def test_books_of_few_paragraphs_write_no_grams(spark, monkeypatch):
+    notes, paras = library(4)
+    want, kinds, real = plain(notes, paras), [], grams.stored
+    monkeypatch.setattr(grams, "stored", lambda df, kind="table": (kinds.append(kind), real(df, kind))[1])
+    assert located(spark, notes, paras) == want
+    assert not {"asked-grams", "held-grams"} & set(kinds)
+    # Larger ones do, a bounded number at a time.
+    monkeypatch.setattr(grams, "MOST_PAIRS", 50)
+    monkeypatch.setattr(grams, "GRAMS_AT_ONCE", 5)
+    assert located(spark, notes, paras) == want
+    assert "held-grams" in kinds
